@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import ordered
-from .moments import DS, SAMPLE, gene_moments, sample_totals
+from .moments import DS, SAMPLE, sample_totals
 
 # Component weights of the overall score.
 WEIGHTS = {"library_quality": 0.15, "gene_detection": 0.20, "outlier_detection": 0.15,
@@ -200,6 +200,3 @@ def overall(components: dict[str, DataFrame]) -> DataFrame:
     s = F.col("score")
     return total.select(DS, "score", F.when(s >= 80, "good").when(s >= 60, "acceptable").otherwise("poor").alias("status"))
 
-
-def gene_frame(counts: DataFrame) -> DataFrame:
-    return gene_moments(counts)
