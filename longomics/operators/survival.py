@@ -211,22 +211,22 @@ def logrank_scan(df: DataFrame, min_side: int = 5) -> DataFrame:
     at, d = F.col("at").cast("double"), F.col("d")
     a = F.when(at > 1, d * (at - d) / ((at - 1) * at * at)).otherwise(0.0)
     risk = risk.select(ordered.BLOCK, "time", (d / at).alias("h"), (a * at).alias("ar"), a.alias("b"))
-    curves = ordered.scan(risk, [], ["time"], {"H": ("sum", "h"), "A": ("sum", "ar"), "B": ("sum", "b")})
-    rows = cut(ranked.join(curves.select("time", "H", "A", "B"), "time"))
+    curves = ordered.scan(risk, [], ["time"], {"c_h": ("sum", "h"), "c_a": ("sum", "ar"), "c_b": ("sum", "b")})
+    rows = cut(ranked.join(curves.select("time", "c_h", "c_a", "c_b"), "time"))
     top = rows.count()
-    lv = bit_levels(rows.select("r", "time", "B"), "r", top)
+    lv = bit_levels(rows.select("r", "time", "c_b"), "r", top)
     per = lv.groupBy("lvl", "bucket", "time").agg(
-        F.sum(F.when(F.col("bit") == 1, F.col("B")).otherwise(0.0)).alias("hb"), F.count_if(F.col("bit") == 1).alias("hn"))
+        F.sum(F.when(F.col("bit") == 1, F.col("c_b")).otherwise(0.0)).alias("hb"), F.count_if(F.col("bit") == 1).alias("hn"))
     pref = ordered.scan(ordered.block_order(per, ["lvl", "bucket"], ["time"]), ["lvl", "bucket"], ["time"],
                         {"pb": ("sum", "hb"), "pn": ("sum", "hn")})
     total = per.groupBy("lvl", "bucket").agg(F.sum("hn").alias("tn"))
     low = (lv.where("bit = 0").join(pref.select("lvl", "bucket", "time", "pb", "pn"), ["lvl", "bucket", "time"])
            .join(total, ["lvl", "bucket"]))
-    pair = low.groupBy("r").agg(F.sum(F.col("pb") + F.col("B") * (F.col("tn") - F.col("pn"))).alias("s"))
-    u = F.col("B") + 2.0 * F.coalesce("s", F.lit(0.0))
+    pair = low.groupBy("r").agg(F.sum(F.col("pb") + F.col("c_b") * (F.col("tn") - F.col("pn"))).alias("s"))
+    u = F.col("c_b") + 2.0 * F.coalesce("s", F.lit(0.0))
     by_score = rows.join(pair, "r", "left").groupBy("score").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event") == 1).alias("o"), F.sum("H").alias("e"),
-        F.sum("A").alias("va"), F.sum(u).alias("vq"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event") == 1).alias("o"), F.sum("c_h").alias("e"),
+        F.sum("c_a").alias("va"), F.sum(u).alias("vq"))
     cum = ordered.scan(ordered.block_order(by_score, [], ["-score"]), [], ["-score"], {
         "n_high": ("sum", "n"), "obs": ("sum", "o"), "exp": ("sum", "e"), "sa": ("sum", "va"), "sq": ("sum", "vq")})
     ends = by_score.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
