@@ -42,13 +42,12 @@ def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str =
     """One point per distinct score (threshold descending) plus the +infinity start."""
     d = _by_score(df, by, y, score)
     cum = ordered.scan(ordered.block_order(d, by, ["-score"]), by, ["-score"],
-                       {"tp": ("sum", "pos"), "fp": ("sum", "neg")})
+                       {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, totals={"P": "tp", "N": "fp"})
     totals = d.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    points = cum.select(*by, F.col("score").alias("threshold"), "tp", "fp")
-    start = totals.select(*by, F.lit(float("inf")).alias("threshold"),
-                          F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    points = cum.select(*by, F.col("score").alias("threshold"), "tp", "fp", "P", "N")
+    zero = F.lit(0).cast("bigint")
+    start = totals.select(*by, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), "P", "N")
     both = points.unionByName(start)
-    both = both.join(totals, list(by)) if by else both.crossJoin(F.broadcast(totals))
     return both.select(*by, "threshold", (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import cut
+
 DS, GENE, SAMPLE = "dataset_id", "gene_id", "sample_id"
 
 
@@ -45,6 +47,11 @@ def gene_moments(counts: DataFrame, value: str = "count", samples: DataFrame | N
         F.var_pop(F.when(some, v)).alias("_var_nz"),
         F.max(v).cast("double").alias("max_value"),
         *extra)
+    return finish_moments(sparse, n)
+
+
+def finish_moments(sparse: DataFrame, n: DataFrame) -> DataFrame:
+    """Dense-row statistics from the non-zero part's moments and the dataset's sample number."""
     full = sparse.join(n, DS)
     nz, size = F.col("nonzero"), F.col("n_samples")
     mean_nz, var_nz = F.coalesce("_mean_nz", F.lit(0.0)), F.coalesce("_var_nz", F.lit(0.0))
@@ -59,9 +66,27 @@ def gene_moments(counts: DataFrame, value: str = "count", samples: DataFrame | N
         (size - nz).alias("zeros"))
 
 
-def dataset_sizes(genes: DataFrame) -> DataFrame:
-    return genes.groupBy(DS).agg(F.count(F.lit(1)).alias("n_genes"),
-                                 F.max("n_samples").alias("n_samples"))
+def matrix_summaries(counts: DataFrame, samples: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Gene moments, sample totals and the count histogram from a single read of the cells.
+
+    Grouping sets expand each row before the map-side combine, so the input is scanned and shuffled
+    once for all three; the result is checkpointed and split by grouping id.
+    """
+    v, some = F.col("count"), F.col("count") != 0
+    base = counts.select(DS, GENE, SAMPLE, "count", F.col("count").cast("double").alias("bin"))
+    sets = base.groupingSets(
+        [[F.col(DS), F.col(GENE)], [F.col(DS), F.col(SAMPLE)], [F.col(DS), F.col("bin")]],
+        F.col(DS), F.col(GENE), F.col(SAMPLE), F.col("bin")).agg(
+        F.grouping_id().alias("_set"), F.sum(v).cast("double").alias("total"), F.count_if(some).alias("nonzero"),
+        F.count_if(v > 0).alias("detected"), F.avg(F.when(some, v)).alias("_mean_nz"),
+        F.var_pop(F.when(some, v)).alias("_var_nz"), F.max(v).cast("double").alias("max_value"))
+    sets = cut(sets)
+    # grouping_id bits, high to low: dataset, gene, sample, bin; a set bit means "not grouped by".
+    libs = sets.where("_set = 5").select(DS, SAMPLE, F.col("total").alias("library_size"), F.col("detected").alias("detected_genes"))
+    hist = sets.where("_set = 6 AND bin > 0").select(DS, F.col("bin").alias("count"), F.col("nonzero").alias("n"))
+    n = sample_numbers(libs if samples is None else samples.select(DS, SAMPLE))
+    genes = finish_moments(sets.where("_set = 3").select(DS, GENE, "total", "nonzero", "_mean_nz", "_var_nz", "max_value"), n)
+    return {"genes": genes, "libraries": libs, "histogram": hist}
 
 
 def densify(counts: DataFrame, value: str = "count", samples: DataFrame | None = None) -> DataFrame:

@@ -40,10 +40,12 @@ def scan(
     aggs: Mapping[str, tuple[str, Column | str]],
     reverse: bool = False,
     exclusive: bool = False,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Running aggregates over block-ordered rows. ``aggs``: output -> (sum|min|max|count, column).
 
     ``order`` must be total inside a group (use distinct values with weights for tied ranks).
+    ``totals``: output -> name in ``aggs`` whose whole-group value rides along with the carry.
     """
     keys = [*by, BLOCK]
     frame_end = -1 if exclusive else Window.currentRow
@@ -52,11 +54,13 @@ def scan(
     block = F.col(BLOCK)
     before = (Window.partitionBy(*by).orderBy(block.desc() if reverse else block.asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    totals = df.groupBy(*keys).agg(
+    per_block = df.groupBy(*keys).agg(
         *[_AGG[kind](value).alias(f"_t_{out}") for out, (kind, value) in aggs.items()])
-    carried = totals.select(*keys, *[
-        (F.sum if kind == "count" else _AGG[kind])(f"_t_{out}").over(before).alias(f"_c_{out}")
-        for out, (kind, _) in aggs.items()])
+    fold = {out: F.sum if kind == "count" else _AGG[kind] for out, (kind, _) in aggs.items()}
+    group = Window.partitionBy(*by)
+    whole = [fold[name](f"_t_{name}").over(group).alias(out) for out, name in (totals or {}).items()]
+    carried = per_block.select(
+        *keys, *[fold[out](f"_t_{out}").over(before).alias(f"_c_{out}") for out in aggs], *whole)
     rows = df.select("*", *[_AGG[kind](value).over(local).alias(f"_l_{out}")
                             for out, (kind, value) in aggs.items()])
     joined = rows.join(carried, keys)
@@ -68,7 +72,7 @@ def scan(
         else:
             value = (F.least if kind == "min" else F.greatest)(here, prior)
         final.append(value.alias(out))
-    return joined.select(*df.columns, *final)
+    return joined.select(*df.columns, *final, *(totals or {}))
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -101,9 +105,8 @@ def order_stats(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str
     ``extra`` aggregates may use ``_n`` (ties), ``_cum`` (running count) and ``_total``.
     """
     distinct = df.groupBy(*by, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
-    cum = scan(block_order(distinct, by, [value]), by, [value], {"_cum": ("sum", "_n")})
-    total = cum.groupBy(*by).agg(F.max("_cum").alias("_total"))
-    joined = cum.join(total, list(by)) if by else cum.crossJoin(F.broadcast(total))
+    joined = scan(block_order(distinct, by, [value]), by, [value], {"_cum": ("sum", "_n")},
+                  totals={"_total": "_cum"})
     cols = []
     for name, prob in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(prob))
@@ -132,9 +135,7 @@ def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, out: str) -> Da
     tested = df.where(F.col(p).isNotNull())
     distinct = tested.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
     blocks = block_order(distinct, by, [p])
-    ranked = scan(blocks, by, [p], {"_rank": ("sum", "_n")})
-    total = blocks.groupBy(*by).agg(F.sum("_n").alias("_m"))
-    ranked = ranked.join(total, list(by)) if by else ranked.crossJoin(F.broadcast(total))
+    ranked = scan(blocks, by, [p], {"_rank": ("sum", "_n")}, totals={"_m": "_rank"})
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     adjusted = scan(ranked, by, [p], {"_adj": ("min", "_raw")}, reverse=True)
     adjusted = adjusted.select(*by, p, F.least(F.col("_adj"), F.lit(1.0)).alias(out))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ordered
-from .moments import DS, gene_moments, sample_totals
+from .moments import DS, matrix_summaries
 from ..runtime import cut
 
 # Percentiles of the expression distribution.
@@ -54,21 +54,13 @@ def group_profile(samples: DataFrame, group: str = "condition") -> DataFrame:
         .otherwise("complex").alias("design_complexity"))
 
 
-def library_profile(libs: DataFrame) -> DataFrame:
-    lib = F.col("library_size")
-    return libs.groupBy(DS).agg(
-        F.avg(lib).alias("library_size_mean"),
-        F.stddev_pop(lib).alias("library_size_std"),
-        F.min(lib).alias("library_size_min"), F.max(lib).alias("library_size_max"),
-        F.avg("detected_genes").alias("genes_per_sample_mean"),
-        F.stddev_pop("detected_genes").alias("genes_per_sample_std"))
-
-
 def gene_profile(genes: DataFrame) -> DataFrame:
-    """Everything that is one pass over the per-gene moments: detection, sparsity, mean-variance."""
-    mean, var = F.col("mean"), F.col("var")
+    """One pass over genes with dispersions: detection, sparsity, mean-variance and dispersion trends."""
+    mean, var, valid = F.col("mean"), F.col("var"), F.col("valid")
     fit = (mean > 1) & (var > 0)
     x, y = F.when(fit, F.log10(mean)), F.when(fit, F.log10(var))
+    tx = F.when(valid, F.log10(mean + 1.0))
+    ty = F.when(valid, F.log10(F.col("dispersion") + 0.001))
     return genes.groupBy(DS).agg(
         F.count(F.lit(1)).alias("n_genes"), F.max("n_samples").alias("n_samples"),
         F.count_if(F.col("total") > 0).alias("n_expressed_genes"),
@@ -78,15 +70,17 @@ def gene_profile(genes: DataFrame) -> DataFrame:
         F.sum(F.exp(-mean) * F.col("n_samples")).alias("_expected_zeros"),
         F.count_if(fit).alias("_n_fit"),
         F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"),
-        F.regr_r2(y, x).alias("_r2"))
+        F.regr_r2(y, x).alias("_r2"),
+        F.regr_slope(ty, tx).alias("trended_dispersion_slope"),
+        F.regr_intercept(ty, tx).alias("trended_dispersion_intercept"))
 
 
 def gene_dispersions(genes: DataFrame) -> DataFrame:
-    """Method-of-moments dispersion of expressed genes with ``valid`` and the var/mean ratio.
+    """All genes, with dispersion, ``valid`` and var/mean ratio filled in for the expressed ones.
 
-    Expressed means mean >= 5, relaxed to >= 1 when fewer than 50 such genes; datasets with fewer
-    than 10 are left out. Genes without excess variance get 0 before clipping, unless fewer than 10
-    genes have any.
+    Dispersion is by the method of moments. Expressed means mean >= 5, relaxed to >= 1 when fewer
+    than 50 such genes; datasets with fewer than 10 get none. Genes without excess variance get 0
+    before clipping, unless fewer than 10 genes have any.
     """
     mean, var = F.col("mean"), F.col("var")
     over = var > mean
@@ -97,88 +91,90 @@ def gene_dispersions(genes: DataFrame) -> DataFrame:
     masks = masks.select(DS, F.when(strict, 5.0).otherwise(1.0).alias("_floor"),
                          F.when(strict, F.col("n5")).otherwise(F.col("n1")).alias("_kept"),
                          (F.when(strict, F.col("v5")).otherwise(F.col("v1")) < 10).alias("_use_all"))
-    kept = genes.join(masks, DS).where((mean >= F.col("_floor")) & (F.col("_kept") >= 10))
+    kept = (mean >= F.col("_floor")) & (F.col("_kept") >= 10)
     valid = over | F.col("_use_all")
     raw = F.when(valid, (var - mean) / (mean * mean)).otherwise(0.0)
-    return kept.select(DS, "gene_id", "mean", "var", valid.alias("valid"),
-                       F.least(F.greatest(raw, F.lit(0.001)), F.lit(10.0)).alias("dispersion"),
-                       (var / mean).alias("ratio"))
-
-
-def count_histogram(counts: DataFrame) -> DataFrame:
-    """(dataset, non-zero count value) -> cells; collapses in the map-side aggregate."""
-    return (counts.where("count > 0").groupBy(DS, F.col("count").cast("double").alias("count"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def histogram_profile(hist: DataFrame) -> DataFrame:
-    v, n, x = F.col("count"), F.col("n"), F.log2(F.col("count") + 1.0)
-    first = hist.groupBy(DS).agg(
-        F.sum("n").alias("_nz"), (F.sum(n * x) / F.sum(n)).alias("expression_mean"),
-        (F.sum(n * v) / F.sum(n)).alias("count_mean"),
-        F.max(v).alias("count_max"), F.min(v).alias("_count_min"),
-        F.sum(F.when((v >= 1) & (v < 10), n).otherwise(0)).alias("_low"),
-        F.sum(F.when((v >= 10) & (v < 100), n).otherwise(0)).alias("_medium"),
-        F.sum(F.when((v >= 100) & (v < 1000), n).otherwise(0)).alias("_high"),
-        F.sum(F.when(v >= 1000, n).otherwise(0)).alias("_very_high"))
-    d = x - F.col("expression_mean")
-    powers = (hist.join(first.select(DS, "expression_mean"), DS).groupBy(DS).agg(
-        (F.sum(n * d * d) / F.sum(n)).alias("expression_variance"),
-        (F.sum(n * d * d * d) / F.sum(n)).alias("_m3"),
-        (F.sum(n * d * d * d * d) / F.sum(n)).alias("_m4")))
-    m2 = F.col("expression_variance")
-    return first.join(powers, DS).select(
-        *first.columns, "expression_variance", F.sqrt(m2).alias("expression_std"),
-        F.when(m2 > 0, F.col("_m3") / F.pow(m2, 1.5)).alias("expression_skewness"),
-        F.when(m2 > 0, F.col("_m4") / (m2 * m2) - 3.0).alias("expression_kurtosis"),
-        (F.log2(F.col("count_max") + 1.0) - F.log2(F.col("_count_min") + 1.0)).alias("expression_range"),
-        F.when(F.col("_nz") > 1, F.log2(F.col("count_max") / F.col("_count_min"))).otherwise(0.0)
-        .alias("dynamic_range"))
-
-
-def distribution_stats(libs: DataFrame, hist: DataFrame, dispersions: DataFrame) -> DataFrame:
-    """All percentiles of a profile in one ordered pass, plus the 10% trimmed mean of dispersions."""
-    stacked = (
-        libs.select(DS, F.lit("library").alias("metric"), F.col("library_size").alias("value"), F.lit(1).alias("w"))
-        .unionByName(hist.select(DS, F.lit("count").alias("metric"), F.col("count").alias("value"), F.col("n").alias("w")))
-        .unionByName(dispersions.select(DS, F.lit("dispersion").alias("metric"), F.col("dispersion").alias("value"), F.lit(1).alias("w")))
-        .unionByName(dispersions.where("ratio > 0").select(DS, F.lit("ratio").alias("metric"), F.col("ratio").alias("value"), F.lit(1).alias("w"))))
+    return genes.join(masks, DS).select(
+        *genes.columns, (kept & valid).alias("valid"),
+        F.when(kept, F.least(F.greatest(raw, F.lit(0.001)), F.lit(10.0))).alias("dispersion"),
+        F.when(kept, var / mean).alias("ratio"))
+
+
+# Shift of the power sums of log2(count + 1): keeps them small, so one pass suffices.
+LOG_CENTRE = 4.0
+
+
+def stack_distributions(libs: DataFrame, hist: DataFrame, genes: DataFrame) -> DataFrame:
+    """(dataset, metric, value, w) of library sizes, detected genes, counts, dispersions and ratios."""
+    def entry(metric: str, value: str) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"))
+
+    one = F.lit(1).cast("bigint").alias("w")
+    a = libs.select(DS, F.explode(F.array(entry("library", "library_size"), entry("detected", "detected_genes"))).alias("e"), one)
+    b = genes.select(DS, F.explode(F.array(entry("dispersion", "dispersion"), entry("ratio", "ratio"))).alias("e"), one)
+    c = hist.select(DS, entry("count", "count").alias("e"), F.col("n").alias("w"))
+    rows = a.unionByName(b).unionByName(c).select(DS, "e.metric", "e.value", "w")
+    return rows.where("value IS NOT NULL AND (metric <> 'ratio' OR value > 0)")
+
+
+def distribution_stats(libs: DataFrame, hist: DataFrame, genes: DataFrame) -> DataFrame:
+    """Percentiles, moments, count bands and the 10% trimmed dispersion mean, all from one ordered
+    pass over the distinct values of every metric."""
+    n, v = F.col("_n"), F.col("value")
+    d = F.log2(v + 1.0) - LOG_CENTRE
     trim = F.floor(F.col("_total") * F.lit(0.1))
-    inside = F.greatest(F.lit(0), F.least(F.col("_cum"), F.col("_total") - trim)
-                        - F.greatest(F.col("_cum") - F.col("_n"), trim))
-    stats = ordered.order_stats(
-        stacked, [DS, "metric"], "value", {f"q{p}": p / 100.0 for p in PERCENTILES}, F.col("w"),
-        extra=(F.sum(inside * F.col("value")).alias("_trim_sum"), F.sum(inside).alias("_trim_n")))
+    inside = F.greatest(F.lit(0), F.least(F.col("_cum"), F.col("_total") - trim) - F.greatest(F.col("_cum") - n, trim))
+    band = lambda lo, hi: F.sum(F.when((v >= lo) & (v < hi), n).otherwise(0))
+    extra = [
+        F.sum(n * v).alias("_s1"), F.sum(n * v * v).alias("_s2"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+        F.sum(inside * v).alias("_trim_sum"), F.sum(inside).alias("_trim_n"),
+        band(1, 10).alias("_low"), band(10, 100).alias("_medium"), band(100, 1000).alias("_high"),
+        band(1000, float("inf")).alias("_very_high"),
+        *[F.sum(n * F.pow(d, F.lit(float(k)))).alias(f"_p{k}") for k in (1, 2, 3, 4)]]
+    stats = ordered.order_stats(stack_distributions(libs, hist, genes), [DS, "metric"], "value",
+                                {f"q{p}": p / 100.0 for p in PERCENTILES}, F.col("w"), extra=extra)
+
+    def pick(metric: str, value: Column) -> Column:
+        return F.max(F.when(F.col("metric") == metric, value))
 
     def at(metric: str, p: int, transform=lambda c: c) -> Column:
-        return F.max(F.when(F.col("metric") == metric, ordered.interpolate(f"q{p}", transform)))
+        return pick(metric, ordered.interpolate(f"q{p}", transform))
 
     def log(c: Column) -> Column:
         return F.log2(c + 1.0)
 
+    size = F.col("n_values")
+    mean = F.col("_s1") / size
+    sd = F.sqrt(F.greatest(F.col("_s2") / size - mean * mean, F.lit(0.0)))
+    m1, m2, m3, m4 = (F.col(f"_p{k}") / size for k in (1, 2, 3, 4))
+    var = m2 - m1 * m1
+    skew = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+    kurt = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
     return stats.groupBy(DS).agg(
+        pick("library", mean).alias("library_size_mean"), pick("library", sd).alias("library_size_std"),
+        pick("library", F.col("_lo")).alias("library_size_min"), pick("library", F.col("_hi")).alias("library_size_max"),
         at("library", 50).alias("library_size_median"),
         (at("library", 75) - at("library", 25)).alias("library_size_iqr"),
-        at("count", 50).alias("count_median"),
+        pick("detected", mean).alias("genes_per_sample_mean"), pick("detected", sd).alias("genes_per_sample_std"),
+        pick("count", mean).alias("count_mean"), at("count", 50).alias("count_median"),
+        pick("count", F.col("_hi")).alias("count_max"),
+        *[pick("count", F.col(c)).alias(c) for c in ("_low", "_medium", "_high", "_very_high")],
+        pick("count", F.when(size > 1, F.log2(F.col("_hi") / F.col("_lo"))).otherwise(0.0)).alias("dynamic_range"),
+        pick("count", m1 + LOG_CENTRE).alias("expression_mean"), pick("count", var).alias("expression_variance"),
+        pick("count", F.sqrt(var)).alias("expression_std"),
+        pick("count", F.when(var > 0, skew / F.pow(var, 1.5))).alias("expression_skewness"),
+        pick("count", F.when(var > 0, kurt / (var * var) - 3.0)).alias("expression_kurtosis"),
+        pick("count", log(F.col("_hi")) - log(F.col("_lo"))).alias("expression_range"),
         at("count", 50, log).alias("expression_median"),
         (at("count", 75, log) - at("count", 25, log)).alias("expression_iqr"),
         *[at("count", p, log).alias(f"expression_p{p}") for p in PERCENTILES],
+        pick("dispersion", mean).alias("dispersion_mean"), pick("dispersion", sd).alias("dispersion_std"),
         at("dispersion", 50).alias("dispersion_median"),
         (at("dispersion", 75) - at("dispersion", 25)).alias("dispersion_iqr"),
-        F.max(F.when(F.col("metric") == "dispersion", F.col("_trim_sum") / F.col("_trim_n")))
-        .alias("common_dispersion"),
+        pick("dispersion", F.col("_trim_sum") / F.col("_trim_n")).alias("common_dispersion"),
         at("ratio", 50).alias("overdispersion_ratio"))
 
 
-def dispersion_trend(dispersions: DataFrame) -> DataFrame:
-    x = F.when(F.col("valid"), F.log10(F.col("mean") + 1.0))
-    y = F.when(F.col("valid"), F.log10(F.col("dispersion") + 0.001))
-    return dispersions.groupBy(DS).agg(
-        F.avg("dispersion").alias("dispersion_mean"), F.stddev_pop("dispersion").alias("dispersion_std"),
-        F.regr_slope(y, x).alias("trended_dispersion_slope"),
-        F.regr_intercept(y, x).alias("trended_dispersion_intercept"))
-
-
 def zero_if_null(df: DataFrame, *names: str) -> DataFrame:
     return df.fillna(0.0, list(names))
 
@@ -187,19 +183,14 @@ def full_profile(counts: DataFrame, samples: DataFrame | None = None, group: str
                  quality: DataFrame | None = None) -> DataFrame:
     """One row per dataset. ``quality`` may bring dataset-level quality_score, has_outliers,
     outlier_severity, has_batch_effect and batch_confounded from the quality-control operators."""
-    genes = cut(gene_moments(counts))
-    libs = cut(sample_totals(counts))
-    hist = cut(count_histogram(counts))
-    disp = cut(gene_dispersions(genes))
-    if samples is None:
-        design = libs.select(DS, F.lit("all").alias(group))
-    else:
-        design = samples
-    g = gene_profile(genes)
-    out = (g.join(group_profile(design, group), DS).join(library_profile(libs), DS)
-           .join(histogram_profile(hist), DS, "left")
-           .join(distribution_stats(libs, hist, disp), DS, "left")
-           .join(dispersion_trend(disp), DS, "left"))
+    parts = matrix_summaries(counts)
+    libs, hist = parts["libraries"], parts["histogram"]
+    genes = cut(gene_dispersions(parts["genes"]))
+    design = libs.select(DS, F.lit("all").alias(group)) if samples is None else samples
+    out = (gene_profile(genes).join(group_profile(design, group), DS)
+           .join(distribution_stats(libs, hist, genes), DS))
+    # One row per dataset: pinning it keeps the derived columns out of the aggregates' generated code.
+    out = cut(out)
     cells = F.col("n_genes") * F.col("n_samples")
     out = out.select(
         "*",
@@ -282,8 +273,9 @@ def feature_vector(p: DataFrame) -> Column:
 
 def key_characteristics(counts: DataFrame) -> DataFrame:
     """Quick description: sizes, library spread, sparsity, median-dispersion BCV, count range."""
-    genes = cut(gene_moments(counts))
-    libs = sample_totals(counts).groupBy(DS).agg(
+    parts = matrix_summaries(counts)
+    genes, hist = cut(parts["genes"]), parts["histogram"]
+    libs = parts["libraries"].groupBy(DS).agg(
         F.avg("library_size").alias("library_size_mean"),
         F.coalesce(F.stddev_pop("library_size") / F.avg("library_size"), F.lit(0.0)).alias("library_size_cv"),
         F.when(F.min("library_size") > 0, F.max("library_size") / F.min("library_size"))
@@ -292,7 +284,6 @@ def key_characteristics(counts: DataFrame) -> DataFrame:
     disp = genes.where((mean >= 5) & (var > mean)).select(
         DS, F.lit("d").alias("metric"),
         F.least(F.greatest((var - mean) / (mean * mean), F.lit(0.001)), F.lit(10.0)).alias("value"), F.lit(1).alias("w"))
-    hist = count_histogram(counts)
     medians = ordered.order_stats(
         disp.unionByName(hist.select(DS, F.lit("c").alias("metric"), F.col("count").alias("value"), F.col("n").alias("w"))),
         [DS, "metric"], "value", {"m": 0.5}, F.col("w"),

@@ -78,10 +78,14 @@ def forest_importance(vectors: DataFrame, seed: int, trees: int = 100, depth: in
     return model.featureImportances.toArray()
 
 
-def shadows(values: DataFrame, round_: int, seed: int = 42) -> DataFrame:
+def places(values: DataFrame) -> DataFrame:
+    """Position of each sample inside its gene."""
+    return cut(ordered.row_numbers(values.select(GENE, SAMPLE, "y"), [GENE], [SAMPLE], "n"))
+
+
+def shadows(values: DataFrame, place: DataFrame, round_: int, seed: int = 42) -> DataFrame:
     """Each gene's values dealt to other samples: two ordered numberings per gene joined on position."""
     base = values.select(GENE, SAMPLE, "value", "y")
-    place = ordered.row_numbers(base.select(GENE, SAMPLE, "y"), [GENE], [SAMPLE], "n")
     mixed = ordered.row_numbers(base.select(GENE, SAMPLE, "value").withColumn(
         "_h", F.xxhash64(F.col(SAMPLE).cast("string"), F.col(GENE).cast("string"), F.lit(seed + round_))),
         [GENE], ["_h", SAMPLE], "n")
@@ -97,14 +101,14 @@ def boruta(values: DataFrame, max_iter: int = 20, seed: int = 42, trees: int = 1
     vectors, names = _vectors(values)
     p = len(names)
     hits, status = np.zeros(p, int), np.zeros(p, int)
+    place, pos = places(values), cut(classify.gene_positions(values))
     for it in range(1, max_iter + 1):
         active = np.flatnonzero(status >= 0)
         if len(active) == 0 or (status != 0).all():
             break
-        dealt = shadows(values, it, seed)
-        pos = cut(classify.gene_positions(values))
+        dealt = shadows(values, place, it, seed)
         shadow = classify.sample_matrix(dealt, pos).select(SAMPLE, F.col("features").alias("sh"))
-        both = vectors.join(shadow, SAMPLE)
+        both = cut(vectors.join(shadow, SAMPLE))
         real, fake = vector_to_array("features"), vector_to_array("sh")
         pick = lambda arr: F.array(*[arr[int(j)] for j in active])
         joined = both.select("y", array_to_vector(F.concat(pick(real), pick(fake))).alias("features"))

@@ -26,7 +26,7 @@ def out(df):
     return rounded(df.select("method", "gene_id", "score", "selected"), "score", digits=4)
 
 
-@query("select_de_filter", "SELECT 'de_filter' AS method, p_brand AS gene_id, CASE WHEN max(p_size) >= 50 AND min(p_size) <= 1 THEN 1.0 ELSE 0.0 END + 0.0 AS score, max(p_size) >= 50 AND min(p_size) <= 1 AS selected FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 2")
+@query("select_de_filter", "SELECT 'de_filter' AS method, p_brand AS gene_id, CAST(CASE WHEN max(p_size) >= 50 AND min(p_size) <= 1 THEN 1 ELSE 0 END AS DOUBLE) AS score, max(p_size) >= 50 AND min(p_size) <= 1 AS selected FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 2")
 def _(t):
     de = t.part.join(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").groupBy(F.col("p_brand").alias("gene_id")).agg(F.max("p_size").alias("hi"), F.min("p_size").alias("lo")).where("hi >= 50 AND lo <= 1")
     return selection.de_filter(slots(t), de)
