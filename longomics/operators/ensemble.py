@@ -77,9 +77,12 @@ def method_correlation(de: DataFrame, p: str = "p_value") -> DataFrame:
 
 
 def combined_pvalues(de: DataFrame, method: str = "fisher", use_padj: bool = False,
-                     parity: bool = False) -> DataFrame:
+                     parity: bool = False, simple_brown: bool = False) -> DataFrame:
     """Fisher or Brown combination per gene, adjusted within the contrast, with per-method values.
 
+    Brown (1975): the statistic has mean 2k and variance 4k + 8 sum r over method pairs, so it is
+    scaled by variance / (2 mean) and compared with 2 mean^2 / variance degrees of freedom.
+    ``simple_brown=True`` uses variance 4k + 4 sum r and mean^2 / variance degrees instead;
     ``parity=True`` makes Brown fall back to Fisher's statistic.
     """
     if method not in ("fisher", "brown"):
@@ -102,10 +105,12 @@ def combined_pvalues(de: DataFrame, method: str = "fisher", use_padj: bool = Fal
         usable = F.filter("pairs", lambda q: F.map_contains_key(present, q["a"]) & F.map_contains_key(present, q["b"])
                           & q["r"].isNotNull() & ~F.isnan(q["r"]))
         cov = F.aggregate(usable, F.lit(0.0), lambda acc, q: acc + q["r"])
-        mean, var = 2.0 * k, 4.0 * k + 4.0 * cov
+        weight, factor = (4.0, 1.0) if simple_brown else (8.0, 2.0)
+        mean, var = 2.0 * k, 4.0 * k + weight * cov
+        usable_var = (var > 0) & (k > 1)
         grouped = grouped.withColumns({
-            "_scaled": F.when(var > 0, stat / (var / (2.0 * mean))).otherwise(stat),
-            "_df": F.when(var > 0, mean * mean / var).otherwise(2.0 * k)})
+            "_scaled": F.when(usable_var, stat / (var / (2.0 * mean))).otherwise(stat),
+            "_df": F.when(usable_var, factor * mean * mean / var).otherwise(2.0 * k)})
         combined = chi2_upper("_scaled", "_df")
     scored = with_meta(grouped.withColumn("combined_pvalue", F.when(k > 0, combined)))
     scored = cut(scored.select(*[c for c in scored.columns if not c.startswith("_") and c != "pairs"]))

@@ -137,8 +137,8 @@ def subspace_components(values: DataFrame, index: DataFrame, k: int = 10, rounds
     return scores.withColumn("ratios", F.array(*[F.lit(float(v / total)) for v in val]))
 
 
-def principal_components(values: DataFrame) -> DataFrame:
-    """(dataset, sample, i, scores array, ratios array) from long values (absent cells are zero)."""
+def sample_structure(values: DataFrame) -> dict[str, DataFrame]:
+    """index, gram rows (datasets within ``GRAM_LIMIT``) and components of long values (absent = zero)."""
     index = cut(sample_index(values))
     sizes = index.groupBy(DS).agg(F.count(F.lit(1)).alias("n"))
     large = [r[DS] for r in sizes.where(F.col("n") > GRAM_LIMIT).select(DS).toLocalIterator()]
@@ -146,10 +146,16 @@ def principal_components(values: DataFrame) -> DataFrame:
     if large:
         normal = values.where(~F.col(DS).isin(large))
         normal_index = index.where(~F.col(DS).isin(large))
-    out = eigen_components(gram(normal, normal_index))
+    rows = cut(gram(normal, normal_index))
+    out = eigen_components(rows)
     for ds in large:
         out = out.unionByName(subspace_components(values.where(F.col(DS) == ds), index.where(F.col(DS) == ds)))
-    return cut(out.join(index, [DS, "i"]))
+    return {"index": index, "gram": rows, "components": cut(out.join(index, [DS, "i"]))}
+
+
+def principal_components(values: DataFrame) -> DataFrame:
+    """(dataset, sample, i, scores array, ratios array) from long values (absent cells are zero)."""
+    return sample_structure(values)["components"]
 
 
 def variance_ratios(pcs: DataFrame) -> DataFrame:
@@ -202,14 +208,16 @@ def library_size_outliers(counts: DataFrame) -> DataFrame:
     return library_z(counts).select(DS, SAMPLE, F.coalesce(F.col("z") > 3, F.lit(False)).alias("outlier"))
 
 
-def mean_correlation(values: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def mean_correlation(values: DataFrame, structure: dict[str, DataFrame] | None = None) -> DataFrame:
     """Mean correlation of each sample's standardised profile with all other samples'.
 
     Row i's correlations come from Gram entries and sample sums over genes, so the pairs of samples
     exist only as array elements of n rows, never as rows of their own.
     """
-    index = cut(sample_index(values)) if index is None else index
-    g = gram(values, index)
+    if structure is None:
+        index = cut(sample_index(values))
+        structure = {"index": index, "gram": gram(values, index)}
+    index, g = structure["index"], structure["gram"]
     stats = gene_moments(values, "value").select(
         DS, GENE, "mean", F.when(F.col("var_pop") > 1e-30, F.sqrt("var_pop")).otherwise(1.0).alias("scale"))
     base = stats.groupBy(DS).agg(F.sum(-F.col("mean") / F.col("scale")).alias("zero_sum"),
@@ -229,9 +237,9 @@ def mean_correlation(values: DataFrame, index: DataFrame | None = None) -> DataF
     return pairs.select(DS, SAMPLE, ((total - 1.0) / (F.size("row") - 1)).alias("mean_correlation"))
 
 
-def correlation_outliers(values: DataFrame) -> DataFrame:
+def correlation_outliers(values: DataFrame, structure: dict[str, DataFrame] | None = None) -> DataFrame:
     """Mean correlation below median - 3 * 1.4826 * MAD."""
-    c = cut(mean_correlation(values))
+    c = cut(mean_correlation(values, structure))
     med = ordered.quantiles(c, [DS], "mean_correlation", {"med": 0.5}).select(DS, "med")
     dev = c.join(med, DS).withColumn("dev", F.abs(F.col("mean_correlation") - F.col("med")))
     mad = ordered.quantiles(dev, [DS], "dev", {"mad": 0.5}).select(DS, "mad")
@@ -239,7 +247,7 @@ def correlation_outliers(values: DataFrame) -> DataFrame:
     return dev.join(mad, DS).select(DS, SAMPLE, (F.col("mean_correlation") < limit).alias("outlier"))
 
 
-def _flag_share(scores: DataFrame, contamination: float) -> DataFrame:
+def flag_share(scores: DataFrame, contamination: float) -> DataFrame:
     """Flag scores strictly above the (1 - contamination) quantile of their dataset."""
     limit = ordered.quantiles(scores, [DS], "score", {"limit": 1.0 - contamination}).select(DS, "limit")
     return scores.join(limit, DS).select(DS, SAMPLE, "score", (F.col("score") > F.col("limit")).alias("outlier"))
@@ -256,6 +264,10 @@ def _point_sets(pcs: DataFrame, dims: int | None = None) -> DataFrame:
 
 
 def lof_outliers(pcs: DataFrame, contamination: float = 0.1, neighbours: int = 20) -> DataFrame:
+    return flag_share(lof_scores(pcs, neighbours), contamination)
+
+
+def lof_scores(pcs: DataFrame, neighbours: int = 20) -> DataFrame:
     """Local outlier factor (Breunig et al. 2000) with k = min(neighbours, n - 1).
 
     k-nearest lists are found per dataset in strips of samples against that dataset's coordinates;
@@ -288,55 +300,91 @@ def lof_outliers(pcs: DataFrame, contamination: float = 0.1, neighbours: int = 2
     lof = (knn.join(lrd.select(DS, F.col("i").alias("j"), F.col("lrd").alias("lrdj")), [DS, "j"])
            .groupBy(DS, "i").agg(F.avg("lrdj").alias("m")).join(lrd, [DS, "i"])
            .select(DS, "i", (F.col("m") / F.col("lrd")).alias("score")))
-    return _flag_share(lof.join(pcs.select(DS, SAMPLE, "i"), [DS, "i"]).select(DS, SAMPLE, "score"), contamination)
+    return lof.join(pcs.select(DS, SAMPLE, "i"), [DS, "i"]).select(DS, SAMPLE, "score")
+
+
+TREE_GENES, STRIP = 256, 1024
 
 
-def isolation_forest_outliers(pcs: DataFrame, contamination: float = 0.1, trees: int = 100,
+def isolation_forest_outliers(values: DataFrame, contamination: float = 0.1, trees: int = 100,
                               subsample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation forest (Liu, Ting and Zhou 2008) on component coordinates.
+    return flag_share(isolation_scores(values, cut(sample_index(values)), trees, subsample, seed), contamination)
 
-    One group per (dataset, tree): seeded hash order picks the subsample and the tree walks all of
-    the dataset's samples, emitting path lengths; the average over trees is a plain aggregate.
+
+def isolation_scores(values: DataFrame, index: DataFrame, trees: int = 100, subsample: int = 256,
+                     seed: int = 42) -> DataFrame:
+    """Isolation forest (Liu, Ting and Zhou 2008) on gene values.
+
+    A tree splits on at most ``subsample`` genes, so each tree gets its own hash-drawn genes (about
+    ``TREE_GENES``) and training samples; a group is one (dataset, tree, strip of samples) and holds
+    those genes for the strip and the training samples only. Every strip regrows the same tree from
+    the same seed; path lengths are averaged by an ordinary aggregate.
     """
-    pts = _point_sets(pcs)
-    forest = pts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    n = index.groupBy(DS).agg(F.count(F.lit(1)).alias("n"))
+    packed = (values.join(index, [DS, SAMPLE]).groupBy(DS, GENE)
+              .agg(F.collect_list(F.struct("i", "value")).alias("c")).join(n, DS))
+    genes = packed.groupBy(DS).agg(F.count(F.lit(1)).alias("g"))
+    scale = 1 << 30
+    draw = lambda t: F.pmod(F.xxhash64(F.col(GENE).cast("string"), t, F.lit(seed)), F.lit(scale))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                    lambda t: draw(t) < F.lit(float(TREE_GENES * scale)) / F.col("g"))
+    placed = packed.join(genes, DS).withColumn("tree", F.explode(mine)).withColumn(
+        "strip", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRIP).cast("int"))))
+
+    def train_slot(i, tree, size):
+        """Training samples: a tree-shifted multiplicative walk over the sample positions."""
+        return (i * 1_000_003 + tree * 104_729) % size
+
+    kept = F.filter("c", lambda e: (F.floor(e["i"] / STRIP) == F.col("strip"))
+                    | (train_slot(e["i"].cast("bigint"), F.col("tree"), F.col("n")) < subsample))
+    rows = placed.select(DS, "tree", "strip", GENE, "n", F.transform(kept, lambda e: e["i"]).alias("idx"),
+                         F.transform(kept, lambda e: e["value"]).alias("val"))
+
+    def average_path(size: int) -> float:
+        if size <= 1:
+            return 0.0
+        return 1.0 if size == 2 else 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        rng = np.random.default_rng([seed, int(key[1])])
-        x = np.vstack(pdf["x"].to_numpy())
-        n = len(x)
-        m = min(subsample, n)
+        pdf = pdf.sort_values(GENE)
+        n_all, tree, strip = int(pdf["n"].iloc[0]), int(key[1]), int(key[2])
+        everyone = np.arange(n_all, dtype=np.int64)
+        train = everyone[train_slot(everyone, tree, n_all) < subsample]
+        walk = everyone[strip * STRIP:(strip + 1) * STRIP]
+        members = np.union1d(train, walk)
+        x = np.zeros((len(members), len(pdf)))
+        for g, (idx, val) in enumerate(zip(pdf["idx"], pdf["val"])):
+            x[np.searchsorted(members, np.asarray(idx)), g] = val
+        rng = np.random.default_rng([seed, tree])
+        m = len(train)
         limit = max(1, math.ceil(math.log2(max(m, 2))))
-
-        def average_path(size: int) -> float:
-            if size <= 1:
-                return 0.0
-            return 1.0 if size == 2 else 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size
-
-        depth = np.zeros(n)
-        stack = [(rng.permutation(n)[:m], np.arange(n), 0)]
+        depth = np.zeros(len(members))
+        stack = [(np.searchsorted(members, train), np.searchsorted(members, walk), 0)]
         while stack:
-            train, walk, level = stack.pop()
-            spread = np.flatnonzero(np.ptp(x[train], axis=0) > 0) if len(train) > 1 else []
+            fit, go, level = stack.pop()
+            spread = np.flatnonzero(np.ptp(x[fit], axis=0) > 0) if len(fit) > 1 else []
             if level >= limit or len(spread) == 0:
-                depth[walk] = level + average_path(len(train))
+                depth[go] = level + average_path(len(fit))
                 continue
             f = rng.choice(spread)
-            at = rng.uniform(x[train, f].min(), x[train, f].max())
-            stack.append((train[x[train, f] <= at], walk[x[walk, f] <= at], level + 1))
-            stack.append((train[x[train, f] > at], walk[x[walk, f] > at], level + 1))
-        norm = average_path(m)
-        return pd.DataFrame({DS: key[0], "i": pdf["i"].to_numpy(), "depth": depth, "norm": norm})
+            at = rng.uniform(x[fit, f].min(), x[fit, f].max())
+            stack.append((fit[x[fit, f] <= at], go[x[go, f] <= at], level + 1))
+            stack.append((fit[x[fit, f] > at], go[x[go, f] > at], level + 1))
+        return pd.DataFrame({DS: key[0], "i": walk.astype(np.int32), "depth": depth[np.searchsorted(members, walk)],
+                             "norm": average_path(m)})
 
-    key = pcs.schema[DS].dataType.simpleString()
-    paths = forest.groupBy(DS, "tree").applyInPandas(grow, f"{DS} {key}, i int, depth double, norm double")
+    key = values.schema[DS].dataType.simpleString()
+    paths = rows.groupBy(DS, "tree", "strip").applyInPandas(grow, f"{DS} {key}, i int, depth double, norm double")
     score = paths.groupBy(DS, "i").agg(F.pow(F.lit(2.0), -F.avg("depth") / F.max("norm")).alias("score"))
-    return _flag_share(score.join(pcs.select(DS, SAMPLE, "i"), [DS, "i"]).select(DS, SAMPLE, "score"), contamination)
+    return score.join(index, [DS, "i"]).select(DS, SAMPLE, "score")
 
 
 def elliptic_outliers(pcs: DataFrame, contamination: float = 0.1, dims: int = 10, steps: int = 8,
                       starts: int = 20, seed: int = 42) -> DataFrame:
+    return flag_share(elliptic_scores(pcs, dims, steps, starts, seed), contamination)
+
+
+def elliptic_scores(pcs: DataFrame, dims: int = 10, steps: int = 8, starts: int = 20, seed: int = 42) -> DataFrame:
     """Robust covariance distance: concentration steps (Rousseeuw and Van Driessen 1999).
 
     Each (dataset, start) runs its C-steps on at most ``dims`` coordinates per sample; the start
@@ -370,7 +418,7 @@ def elliptic_outliers(pcs: DataFrame, contamination: float = 0.1, dims: int = 10
     fits = runs.groupBy(DS, "start").applyInPandas(
         concentrate, f"{DS} {key}, i int, start int, logdet double, d double")
     best = fits.groupBy(DS, "i").agg(F.min_by("d", F.struct("logdet", "start")).alias("score"))
-    return _flag_share(best.join(pcs.select(DS, SAMPLE, "i"), [DS, "i"]).select(DS, SAMPLE, "score"), contamination)
+    return best.join(pcs.select(DS, SAMPLE, "i"), [DS, "i"]).select(DS, SAMPLE, "score")
 
 
 # Method names of the vote.
@@ -379,23 +427,36 @@ METHODS = ["pca_mahalanobis", "isolation_forest", "lof", "elliptic_envelope", "c
 
 def consensus_outliers(counts: DataFrame, values: DataFrame, methods: list[str] | None = None,
                        threshold: int = 3, contamination: float = 0.1,
-                       pcs: DataFrame | None = None) -> DataFrame:
-    """Votes per sample over the chosen methods; consensus at ``threshold`` votes."""
+                       structure: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Votes per sample over the chosen methods; consensus at ``threshold`` votes.
+
+    Score-quantile methods are stacked, so all their limits come from one ordered pass.
+    """
     chosen = methods or METHODS
-    if set(chosen) - {"library_size", "correlation"} and pcs is None:
-        pcs = principal_components(values)
-    run = {
-        "pca_mahalanobis": lambda: pca_mahalanobis_outliers(pcs),
-        "isolation_forest": lambda: isolation_forest_outliers(pcs, contamination),
-        "lof": lambda: lof_outliers(pcs, contamination),
-        "elliptic_envelope": lambda: elliptic_outliers(pcs, contamination),
-        "correlation": lambda: correlation_outliers(values),
-        "library_size": lambda: library_size_outliers(counts),
+    unknown = set(chosen) - set(METHODS)
+    if unknown:
+        raise ValueError(f"unknown methods {sorted(unknown)}")
+    if structure is None and set(chosen) != {"library_size"}:
+        structure = sample_structure(values)
+    scorers = {
+        "pca_mahalanobis": lambda c: mahalanobis(c).withColumnRenamed("distance", "score"),
+        "isolation_forest": lambda c: isolation_scores(values, structure["index"]), "lof": lof_scores, "elliptic_envelope": elliptic_scores,
     }
-    votes = None
+    votes, scores = None, None
     for method in chosen:
-        part = run[method]().select(DS, SAMPLE, F.lit(method).alias("method"), "outlier")
+        if method in scorers:
+            part = scorers[method](structure["components"]).select(DS, SAMPLE, F.lit(method).alias("method"), "score")
+            scores = part if scores is None else scores.unionByName(part)
+            continue
+        part = correlation_outliers(values, structure) if method == "correlation" else library_size_outliers(counts)
+        part = part.select(DS, SAMPLE, F.lit(method).alias("method"), "outlier")
         votes = part if votes is None else votes.unionByName(part)
+    if scores is not None:
+        scores = cut(scores)
+        q = ordered.quantiles(scores, [DS, "method"], "score", {"q95": 0.95, "share": 1.0 - contamination})
+        limit = F.when(F.col("method") == "pca_mahalanobis", F.col("q95")).otherwise(F.col("share"))
+        flagged = scores.join(q, [DS, "method"]).select(DS, SAMPLE, "method", (F.col("score") > limit).alias("outlier"))
+        votes = flagged if votes is None else votes.unionByName(flagged)
     return votes.groupBy(DS, SAMPLE).agg(
         F.count_if("outlier").alias("votes"),
         F.sort_array(F.collect_list(F.when(F.col("outlier"), F.col("method")))).alias("flagged_by"),

@@ -358,7 +358,7 @@ def _(t):
 
 @query("outliers_isolation_forest")
 def _(t):
-    return rounded(outliers.isolation_forest_outliers(outliers.principal_components(normalize.log2p1(t.counts()))), "score")
+    return rounded(outliers.isolation_forest_outliers(normalize.log2p1(t.counts())), "score")
 
 
 @query("outliers_robust_covariance")
