@@ -203,9 +203,14 @@ def title_scores(columns: DataFrame, titles: DataFrame, by: str = "dataset_id")
         n = F.greatest(F.length(text) - 2, F.lit(1))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(3))))
 
-    # Either base occurs in the other text, so its first trigram is a trigram of that text.
-    left = c.select("*", F.explode(F.array_distinct(F.concat(F.array(F.substring("cb", 1, 3)), grams(F.lower("column"))))).alias("k"))
-    right = t.select("*", F.explode(F.array_distinct(F.concat(F.array(F.substring("tb", 1, 3)), grams(F.col("tl"))))).alias("k"))
+    def keys(base: Column, text: Column, base_tag: str, text_tag: str) -> Column:
+        own = F.array(F.concat(F.lit(base_tag), F.substring(base, 1, 3)))
+        return F.explode(F.concat(own, F.transform(grams(text), lambda g: F.concat(F.lit(text_tag), g))))
+
+    # Either base occurs in the other text, so its first trigram is a trigram of that text; the tags
+    # keep a base's trigram from meeting anything but the other side's text.
+    left = c.select("*", keys(F.col("cb"), F.lower("column"), "c", "t").alias("k"))
+    right = t.select("*", keys(F.col("tb"), F.col("tl"), "t", "c").alias("k"))
     short_l = c.where(F.length("cb").between(1, 2)).select(*c.columns)
     pairs = left.join(right, [by, "k"]).drop("k")
     tiny = short_l.join(t, by).where(F.col("tl").contains(F.col("cb")))

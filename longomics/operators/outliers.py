@@ -282,14 +282,20 @@ def lof_scores(pcs: DataFrame, neighbours: int = 20) -> DataFrame:
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({DS: [], "i": [], "j": [], "d": []})
-        a, b = np.vstack(left["x"].to_numpy()), np.vstack(right["xj"].to_numpy())
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0))
-        ids, own = right["j"].to_numpy(), left["i"].to_numpy()
-        d[own[:, None] == ids[None]] = np.inf
-        k = min(neighbours, len(b) - 1)
-        pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({DS: key[0], "i": np.repeat(own, k), "j": ids[pick].ravel(),
-                             "d": np.take_along_axis(d, pick, 1).ravel()})
+        a, own = np.vstack(left["x"].to_numpy()), left["i"].to_numpy()
+        k = min(neighbours, len(right) - 1)
+        best_d, best_j = np.full((len(a), k), np.inf), np.full((len(a), k), -1)
+        # The dataset is met in chunks and only k neighbours per sample are carried on.
+        for at in range(0, len(right), 4096):
+            part = right.iloc[at:at + 4096]
+            b, ids = np.vstack(part["xj"].to_numpy()), part["j"].to_numpy()
+            d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0))
+            d[own[:, None] == ids[None]] = np.inf
+            every_d = np.hstack([best_d, d])
+            every_j = np.hstack([best_j, np.broadcast_to(ids, d.shape)])
+            pick = np.argsort(every_d, axis=1, kind="stable")[:, :k]
+            best_d, best_j = np.take_along_axis(every_d, pick, 1), np.take_along_axis(every_j, pick, 1)
+        return pd.DataFrame({DS: key[0], "i": np.repeat(own, k), "j": best_j.ravel(), "d": best_d.ravel()})
 
     key = pcs.schema[DS].dataType.simpleString()
     knn = cut(strips.groupBy(DS, "strip").cogroup(spread.groupBy("ds_r", "strip_r"))

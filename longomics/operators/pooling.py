@@ -65,8 +65,9 @@ def merge_studies(counts: DataFrame, method: str = "inner", min_common_genes: in
     # One list per study, at most its samples; genes x studies rows carry the cell maps.
     lists = everyone.groupBy(STUDY).agg(F.sort_array(F.collect_list(SAMPLE)).alias("_all"))
     maps = kept.groupBy(GENE, STUDY).agg(F.map_from_entries(F.collect_list(F.struct(SAMPLE, "count"))).alias("_cells"))
-    studies = counts.select(STUDY).distinct()
-    grid = genes.withColumn("_k", F.lit(1)).join(studies.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # One row holding the study names (as many as studies) rides to every gene; no keyless join.
+    studies = counts.select(STUDY).distinct().agg(F.collect_list(STUDY).alias("_s"))
+    grid = genes.crossJoin(F.broadcast(studies)).select(GENE, F.explode("_s").alias(STUDY))
     zero = F.lit(0).cast(counts.schema["count"].dataType)
     return (grid.join(maps, [GENE, STUDY], "left").join(lists, STUDY)
             .select(STUDY, GENE, "_cells", F.explode("_all").alias(SAMPLE))
