@@ -107,15 +107,17 @@ def summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(sig & (d == "up")).alias("n_up"), F.count_if(sig & (d == "down")).alias("n_down"))
 
 
-def top_genes(df: DataFrame, n: int = 50, by: str = "padj", significant_only: bool = False) -> DataFrame:
+def top_genes(df: DataFrame, n: int = 50, by: str = "padj", significant_only: bool = False,
+              ties: tuple[str, ...] = ("gene_id",)) -> DataFrame:
     """The n best rows: smallest padj or p-value, largest absolute change or base mean."""
+    by = {v: k for k, v in TOP_BY.items()}.get(by, by)
     if by not in TOP_BY:
         raise ValueError(f"by must be one of {sorted(TOP_BY)}")
     column = F.col(TOP_BY[by])
     order = {"lfc": F.abs(column).desc_nulls_last(), "base_mean": column.desc_nulls_last()}.get(
         by, column.asc_nulls_last())
     rows = df.where("is_significant") if significant_only else df
-    return rows.orderBy(order, "gene_id").limit(n)
+    return rows.orderBy(order, *ties).limit(n)
 
 
 def prefilter(counts: DataFrame, min_count: int = 10, min_samples: int = 2) -> DataFrame:

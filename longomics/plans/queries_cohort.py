@@ -23,6 +23,11 @@ def written(t, df, label, fmt="csv", sep="\t", parts=(), header=True):
     return path
 
 
+def whole(t):
+    """One matrix over all datasets."""
+    return t.counts().groupBy("gene_id", "sample_id").agg(F.sum("count").alias("count"))
+
+
 def str_id(df, name="sample_id"):
     return df.withColumn(name, F.col(name).cast("string"))
 
@@ -70,20 +75,20 @@ def _(t):
     return files.star_counts(t.spark, written(t, c, "star", parts=["s"]) + "/*/*.csv")
 
 
-@query("source_count_matrix", with_views("counts", "s AS (SELECT DISTINCT sample_id FROM counts WHERE dataset_id = 'A')", "g AS (SELECT DISTINCT gene_id FROM counts WHERE dataset_id = 'A')") +
-       """SELECT CAST(g.gene_id AS VARCHAR) AS gene_id, CAST(s.sample_id AS VARCHAR) AS sample_id, CAST(coalesce(c.count, 0) AS DOUBLE) AS count
-FROM g CROSS JOIN s LEFT JOIN counts c ON c.dataset_id = 'A' AND c.gene_id = g.gene_id AND c.sample_id = s.sample_id""")
+@query("source_count_matrix", with_views("counts", "s AS (SELECT DISTINCT sample_id FROM counts)", "g AS (SELECT DISTINCT gene_id FROM counts)", "t AS (SELECT gene_id, sample_id, sum(count) AS count FROM counts GROUP BY 1, 2)") +
+       """SELECT CAST(g.gene_id AS VARCHAR) AS gene_id, CAST(s.sample_id AS VARCHAR) AS sample_id, CAST(coalesce(t.count, 0) AS DOUBLE) AS count
+FROM g CROSS JOIN s LEFT JOIN t ON t.gene_id = g.gene_id AND t.sample_id = s.sample_id""")
 def _(t):
-    a = t.counts().where("dataset_id = 'A'")
+    a = whole(t)
     ids = [r[0] for r in a.select("sample_id").distinct().orderBy("sample_id").limit(1000).collect()]
     path = scratch_path(t.spark, "matrix")
     sinks.export_matrix(a, ids, path)
     return files.count_matrix(t.spark, path)
 
 
-@query("sink_wide_matrix", with_views("counts") + "SELECT gene_id, " + ", ".join(f"CAST(coalesce(sum(count) FILTER (WHERE sample_id = {i}), 0) AS BIGINT) AS s{i}" for i in range(8)) + " FROM counts WHERE dataset_id = 'A' GROUP BY 1")
+@query("sink_wide_matrix", with_views("counts") + "SELECT gene_id, " + ", ".join(f"CAST(coalesce(sum(count) FILTER (WHERE sample_id = {i}), 0) AS BIGINT) AS s{i}" for i in range(8)) + " FROM counts GROUP BY 1")
 def _(t):
-    w = sinks.wide_matrix(t.counts().where("dataset_id = 'A'"), list(range(24)))
+    w = sinks.wide_matrix(whole(t), list(range(24)))
     return w.select("gene_id", *[F.col(str(i)).alias(f"s{i}") for i in range(8)])
 
 
@@ -128,10 +133,10 @@ def _(t):
     return qn.aggregate_to_gene(read, t.tx2gene()).select("sample_id", "gene_id", "count")
 
 
-@query("count_summary", with_views("counts", "a AS (SELECT * FROM counts WHERE dataset_id = 'A')") + f"""SELECT count(DISTINCT gene_id) AS n_genes, count(DISTINCT sample_id) AS n_samples, CAST(sum(count) AS DOUBLE) AS total_counts,
+@query("count_summary", with_views("counts", "a AS (SELECT * FROM counts)") + f"""SELECT count(DISTINCT gene_id) AS n_genes, count(DISTINCT sample_id) AS n_samples, CAST(sum(count) AS DOUBLE) AS total_counts,
 {rq('sum(count) / count(DISTINCT sample_id)', 'mean_per_sample')}, count(DISTINCT gene_id) FILTER (WHERE count > 0) AS detected_genes FROM a""")
 def _(t):
-    return rounded(qn.count_summary(t.counts().where("dataset_id = 'A'")), "mean_per_sample")
+    return rounded(qn.count_summary(t.counts()), "mean_per_sample")
 
 
 def run_info(t):
@@ -244,8 +249,7 @@ def _(t):
 
 @query("source_supplementary", with_views("counts") + "SELECT CAST(gene_id AS VARCHAR) AS gene_id, 's' || sample_id AS sample_id, CAST(sum(count) AS DOUBLE) AS count FROM counts GROUP BY 1, 2 HAVING sum(count) > 0")
 def _(t):
-    total = t.counts().groupBy("gene_id", "sample_id").agg(F.sum("count").alias("count"))
-    w = sinks.wide_matrix(total, list(range(24)))
+    w = sinks.wide_matrix(whole(t), list(range(24)))
     w = w.select("gene_id", F.lit("text").alias("description"), *[F.when(F.col(str(i)) > 0, F.col(str(i))).alias(f"s{i}") for i in range(24)])
     return files.supplementary_matrix(t.spark, written(t, w, "raw_counts.tsv")).where("count > 0")
 
@@ -271,10 +275,10 @@ def _(t):
     return files.sample_sheet(t.spark, written(t, s, "sheet", sep=","))
 
 
-@query("source_de_result", with_views("de") + f"SELECT gene_id, {rq('log2fc', 'log2_fold_change')}, padj < 0.3 AND abs(log2fc) > 0.2 AS is_significant FROM (SELECT CAST(gene_id AS VARCHAR) AS gene_id, log2fc, padj FROM de WHERE contrast_id = 'O' AND method = 'A')")
+@query("source_de_result", with_views("de") + f"SELECT gene_id, {rq('log2fc', 'log2_fold_change')}, padj < 0.3 AND abs(log2fc) > 0.2 AS is_significant FROM (SELECT CAST(gene_id AS VARCHAR) AS gene_id, log2fc, padj FROM de)")
 def _(t):
     from ..operators import de
-    d = t.de().where("contrast_id = 'O' AND method = 'A'").select(
+    d = t.de().select(
         "gene_id", F.col("log2fc").alias("logFC"), F.lit(1.0).alias("logCPM"), F.lit(1.0).alias("LR"), F.col("p_value").alias("PValue"), F.col("padj").alias("FDR"))
     raw = files.de_result(t.spark, written(t, d, "edger_results", sep=","))
     return rounded(de.significance(de.standardise(raw), 0.3, 0.2).select("gene_id", "log2_fold_change", "is_significant"), "log2_fold_change")
@@ -632,11 +636,20 @@ def _(t):
 
 @query("title_scores")
 def _(t):
-    c = t.part.select(F.col("p_type").alias("dataset_id"), F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")).alias("column"))
-    s = t.part.select(F.col("p_type").alias("dataset_id"), F.concat(F.lit("GSM"), F.col("p_partkey").cast("string")).alias("sample_id"),
-                      F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(",rep"), F.col("p_partkey").cast("string")).alias("title"))
-    scores = cohort.title_scores(c.where("dataset_id = 'ECONOMY'"), s.where("dataset_id = 'ECONOMY'"))
-    return scores.groupBy("dataset_id", "score").agg(F.count(F.lit(1)).alias("n"))
+    study = F.floor(F.col("p_partkey") / 40).cast("string").alias("dataset_id")
+    name, k = F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")
+    c = t.part.select(study, F.concat_ws("_", name, k).alias("column"))
+    s = t.part.select(study, F.concat(F.lit("GSM"), k).alias("sample_id"), F.concat(name, F.lit(",rep"), k).alias("title"))
+    return cohort.title_scores(c, s)
+
+
+@query("title_matches")
+def _(t):
+    study = F.floor(F.col("p_partkey") / 40).cast("string").alias("dataset_id")
+    name, k = F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_partkey").cast("string")
+    c = t.part.select(study, F.concat_ws("_", name, k).alias("column"))
+    s = t.part.select(study, F.concat(F.lit("GSM"), k).alias("sample_id"), F.concat(name, F.lit(",rep"), k).alias("title"))
+    return cohort.greedy_match(cohort.title_scores(c, s))
 
 
 # ---- checks -------------------------------------------------------------------------------------------
@@ -650,7 +663,7 @@ def _(t):
 
 @query("check_integrity", with_views("counts samples") + """SELECT c.dataset_id, n_cells, n_features, 12 AS n_shared, n_lack_metadata, true AS valid FROM (SELECT dataset_id, count(*) AS n_cells, count(DISTINCT gene_id) AS n_features, CAST(count(DISTINCT sample_id) FILTER (WHERE sample_id % 2 = 1) AS BIGINT) AS n_lack_metadata FROM counts GROUP BY 1) c""".replace("12 AS n_shared", "(SELECT count(*) FROM samples s WHERE s.dataset_id = c.dataset_id AND sample_id % 2 = 0) AS n_shared"))
 def _(t):
-    r = checks.integrity_report(t.counts(), t.samples().where("sample_id % 2 = 0"))
+    r = checks.integrity_report(t.counts(), t.samples().where("condition = 'control'"))
     return r.select("dataset_id", "n_cells", "n_features", "n_shared", "n_lack_metadata", "valid")
 
 

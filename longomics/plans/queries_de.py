@@ -58,9 +58,9 @@ def _(t):
     return de.filter_by_threshold(sig(t), 0.1, 0.5).select("contrast_id", "method", "gene_id", "is_significant")
 
 
-@query("de_tool_output", with_views("de", STD) + f"SELECT gene_id, {rq('pow(2.0, bm / 10)', 'base_mean', 5)}, q < 0.05 AS is_significant FROM std WHERE contrast_id = 'O' AND method = 'A'")
+@query("de_tool_output", with_views("de", STD) + f"SELECT gene_id, {rq('pow(2.0, bm / 10)', 'base_mean', 5)}, q < 0.05 AS is_significant FROM std")
 def _(t):
-    raw = raw_table(t, "limma").where("contrast_id = 'O' AND method = 'A'").withColumn("AveExpr", F.col("AveExpr") / 10)
+    raw = raw_table(t, "limma").withColumn("AveExpr", F.col("AveExpr") / 10)
     return de.tool_output(raw, "limma").select("gene_id", rnd("base_mean", 5).alias("base_mean"), "is_significant")
 
 
@@ -71,16 +71,16 @@ def _(t):
 
 
 for _by, _order in {"padj": "q ASC", "pvalue": "p ASC", "lfc": "abs(lfc) DESC", "base_mean": "bm DESC"}.items():
-    @query(f"de_top_genes_{_by}", with_views("de", STD, SIG) + f"SELECT gene_id, {rq('lfc', 'log2_fold_change')} FROM (SELECT * FROM sig WHERE contrast_id = 'O' AND method = 'A' ORDER BY {_order}, gene_id LIMIT 50)")
+    @query(f"de_top_genes_{_by}", with_views("de", STD, SIG) + f"SELECT gene_id, {rq('lfc', 'log2_fold_change')} FROM (SELECT * FROM sig ORDER BY {_order}, gene_id, contrast_id, method LIMIT 50)")
     def _(t, by=_by):
-        one = sig(t).where("contrast_id = 'O' AND method = 'A'")
-        return rounded(de.top_genes(one, 50, by).select("gene_id", "log2_fold_change"), "log2_fold_change")
+        top = de.top_genes(sig(t), 50, by, ties=("gene_id", "contrast_id", "method"))
+        return rounded(top.select("gene_id", "log2_fold_change"), "log2_fold_change")
 
 
 @query("de_top_significant", with_views("de", STD, SIG) + "SELECT contrast_id, method, gene_id FROM sig WHERE s ORDER BY q, gene_id, contrast_id, method LIMIT 30")
 def _(t):
-    return (sig(t).where("is_significant").orderBy("adjusted_p_value", "gene_id", "contrast_id", "method").limit(30)
-            .select("contrast_id", "method", "gene_id"))
+    top = de.top_genes(sig(t), 30, "padj", True, ("gene_id", "contrast_id", "method"))
+    return top.select("contrast_id", "method", "gene_id")
 
 
 @query("de_prefilter", with_views("counts") + """SELECT c.dataset_id, c.gene_id, c.sample_id, c.count FROM counts c JOIN
@@ -342,7 +342,7 @@ def _(t):
 
 @query("tuning_evolution")
 def _(t):
-    one = t.de().where("contrast_id = 'O' AND method = 'A'")
+    one = t.de()
     (a, c), score = thresholds.differential_evolution(
         lambda p: thresholds.fdr_trials(one, p, []), generations=3, population=8)
     return thresholds.fdr_trials(one, [(a, c)], []).withColumn("evolved_score", F.lit(score))

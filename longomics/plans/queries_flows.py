@@ -13,10 +13,10 @@ from .registry import query, rnd, rounded, rq
 from .views import with_views
 
 
-@query("sink_de_outputs", with_views("de", STD, SIG) + "SELECT gene_id, 'significant' AS part FROM (SELECT CAST(gene_id AS VARCHAR) AS gene_id, s FROM sig WHERE contrast_id = 'O' AND method = 'A') WHERE s UNION ALL SELECT CAST(gene_id AS VARCHAR), 'full' FROM sig WHERE contrast_id = 'O' AND method = 'A'")
+@query("sink_de_outputs", with_views("de", STD, SIG) + "SELECT gene_id, 'significant' AS part FROM (SELECT CAST(gene_id AS VARCHAR) AS gene_id, s FROM sig) WHERE s UNION ALL SELECT CAST(gene_id AS VARCHAR), 'full' FROM sig")
 def _(t):
     path = scratch_path(t.spark, "de-out")
-    sinks.save_de_outputs(sig(t).where("contrast_id = 'O' AND method = 'A'"), path)
+    sinks.save_de_outputs(sig(t), path)
     read = lambda part: t.spark.read.option("header", True).csv(f"{path}/{part}").select("gene_id", F.lit(part).alias("part"))
     return read("significant").unionByName(read("full"))
 

@@ -102,23 +102,23 @@ def _(t):
     return rounded(genetests.over_representation(t.de().where("padj < 0.5"), t.gene_sets()), "odds_ratio", "p_value", "adjusted_p_value")
 
 
-SEL = "sl AS (SELECT DISTINCT method, gene_id, round(abs(log2fc), 4) AS score, padj < 0.5 AS selected FROM de WHERE contrast_id = 'O' AND padj < 0.9)"
+SEL = "sl AS (SELECT DISTINCT contrast_id || method AS method, gene_id, round(abs(log2fc), 4) AS score, padj < 0.5 AS selected FROM de WHERE padj < 0.9)"
 
 
 def selector_scores(t):
-    return t.de().where("contrast_id = 'O' AND padj < 0.9").select("method", "gene_id", F.round(F.abs("log2fc"), 4).alias("score"), (F.col("padj") < 0.5).alias("selected"))
+    return t.de().where("padj < 0.9").select(F.concat("contrast_id", "method").alias("method"), "gene_id", F.round(F.abs("log2fc"), 4).alias("score"), (F.col("padj") < 0.5).alias("selected"))
 
 
 CONS = (SEL, "g AS (SELECT p_partkey AS gene_id FROM part)", "m AS (SELECT DISTINCT method FROM sl)",
         "x AS (SELECT m.method, g.gene_id, coalesce(s.score, 0.0) AS score, coalesce(s.selected, false) AS selected FROM g CROSS JOIN m LEFT JOIN sl s ON s.method = m.method AND s.gene_id = g.gene_id)",
         "rk AS (SELECT *, avg(k) OVER (PARTITION BY method, score) AS ra FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC) AS k FROM x))",
         "a AS (SELECT gene_id, avg(ra) AS mean_rank, count(*) FILTER (WHERE selected) AS ns FROM rk GROUP BY 1)",
-        "cs AS (SELECT *, (max(mean_rank) OVER () - mean_rank) / max(mean_rank) OVER () * 0.7 + ns / 3.0 * 0.3 AS score FROM a)")
+        "cs AS (SELECT *, (max(mean_rank) OVER () - mean_rank) / max(mean_rank) OVER () * 0.7 + ns / 6.0 * 0.3 AS score FROM a)")
 
 
 @query("consensus_ranking", with_views("de", *CONS) + f"SELECT gene_id, {rq('mean_rank', 'mean_rank')}, ns AS n_methods_selected, {rq('score', 'consensus_score')}, row_number() OVER (ORDER BY round(score, 12) DESC, gene_id) AS consensus_rank FROM cs")
 def _(t):
-    c = genetests.consensus_ranking(selector_scores(t), t.part.select(F.col("p_partkey").alias("gene_id")), 3)
+    c = genetests.consensus_ranking(selector_scores(t), t.part.select(F.col("p_partkey").alias("gene_id")), 6)
     return rounded(c, "mean_rank", "consensus_score")
 
 
@@ -126,7 +126,7 @@ def _(t):
        "cw AS (SELECT cs.gene_id, score * CASE WHEN coalesce(p, 1.0) < 0.5 THEN 1.0 ELSE 0.5 END AS sc FROM cs LEFT JOIN pv ON pv.gene_id = cs.gene_id)") +
        f"SELECT gene_id, {rq('sc', 'consensus_score_calibrated')}, row_number() OVER (ORDER BY round(sc, 12) DESC, gene_id) AS consensus_rank FROM cw")
 def _(t):
-    c = genetests.consensus_ranking(selector_scores(t), t.part.select(F.col("p_partkey").alias("gene_id")), 3)
+    c = genetests.consensus_ranking(selector_scores(t), t.part.select(F.col("p_partkey").alias("gene_id")), 6)
     p = t.de().groupBy("gene_id").agg(F.min("p_value").alias("p_value"))
     return rounded(genetests.calibrate(c, p, 0.5).select("gene_id", "consensus_score_calibrated", "consensus_rank"), "consensus_score_calibrated")
 
