@@ -89,20 +89,35 @@ def matrix_summaries(counts: DataFrame, samples: DataFrame | None = None) -> dic
     return {"genes": genes, "libraries": libs, "histogram": hist}
 
 
-def densify(counts: DataFrame, value: str = "count", samples: DataFrame | None = None) -> DataFrame:
-    """Explicit zero cells for genes x samples of each dataset.
+# Gene chunks per sample when zeros are made explicit: bounds a map to genes / CHUNKS entries.
+CHUNKS = 64
+
 
-    Built per gene as a map lookup over the dataset's sample list, so it needs no cell-level join.
-    The per-gene map is bounded by the number of samples of one dataset.
+def fill_genes(cells: DataFrame, samples: DataFrame, genes: DataFrame, sample_keys: list[str],
+               list_keys: list[str], value: str) -> DataFrame:
+    """One row per sample and listed gene, absent cells as zeros.
+
+    Cells are packed per (sample, gene chunk), so neither a gene with very many samples nor a sample
+    with very many genes gathers in one place; the gene list of a chunk is then read off the map.
     """
-    listed = counts.select(DS, SAMPLE).distinct() if samples is None else samples.select(DS, SAMPLE)
-    sample_list = listed.groupBy(DS).agg(F.sort_array(F.collect_list(SAMPLE)).alias("_all"))
-    packed = counts.groupBy(DS, GENE).agg(
-        F.map_from_entries(F.collect_list(F.struct(SAMPLE, value))).alias("_cells"))
-    zero = F.lit(0).cast(counts.schema[value].dataType)
-    return (packed.join(sample_list, DS)
-            .select(DS, GENE, "_cells", F.explode("_all").alias(SAMPLE))
-            .select(DS, GENE, SAMPLE, F.coalesce(F.element_at("_cells", F.col(SAMPLE)), zero).alias(value)))
+    def chunk() -> Column:
+        return F.pmod(F.xxhash64(GENE), F.lit(CHUNKS)).cast("bigint").alias("_k")
+
+    lists = genes.select(*list_keys, GENE, chunk()).groupBy(*list_keys, "_k").agg(F.collect_list(GENE).alias("_genes"))
+    maps = cells.select(*sample_keys, GENE, value, chunk()).groupBy(*sample_keys, "_k").agg(
+        F.map_from_entries(F.collect_list(F.struct(GENE, value))).alias("_cells"))
+    slots = samples.select(*sample_keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CHUNKS - 1).cast("bigint"))).alias("_k"))
+    zero = F.lit(0).cast(cells.schema[value].dataType)
+    return (slots.join(lists, [*list_keys, "_k"]).join(maps, [*sample_keys, "_k"], "left")
+            .select(*sample_keys, "_cells", F.explode("_genes").alias(GENE))
+            .select(*sample_keys, GENE, F.coalesce(F.element_at("_cells", F.col(GENE)), zero).alias(value)))
+
+
+def densify(counts: DataFrame, value: str = "count", samples: DataFrame | None = None) -> DataFrame:
+    """Explicit zero cells for genes x samples of each dataset."""
+    listed = (counts if samples is None else samples).select(DS, SAMPLE).distinct()
+    filled = fill_genes(counts, listed, counts.select(DS, GENE).distinct(), [DS, SAMPLE], [DS], value)
+    return filled.select(DS, GENE, SAMPLE, value)
 
 
 def standardise(values: DataFrame, value: str = "value") -> DataFrame:

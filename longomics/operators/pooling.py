@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import normalize
-from .moments import GENE, SAMPLE
+from .moments import GENE, SAMPLE, fill_genes
 
 STUDY = "study"
 
@@ -50,8 +50,7 @@ def common_genes(counts: DataFrame) -> DataFrame:
 def merge_studies(counts: DataFrame, method: str = "inner", min_common_genes: int = 100) -> DataFrame:
     """Dense merged cells (study, gene, sample, count) over common (inner) or all (outer) genes.
 
-    Fewer common genes than the minimum are refused for both methods. Missing cells become zeros:
-    every gene row carries a map of its cells and is read off against the sample list.
+    Fewer common genes than the minimum are refused for both methods. Missing cells become zeros.
     """
     if method not in ("inner", "outer"):
         raise ValueError("method must be 'inner' or 'outer'")
@@ -60,18 +59,8 @@ def merge_studies(counts: DataFrame, method: str = "inner", min_common_genes: in
         raise ValueError(f"only {found['n_common']} common genes (minimum {min_common_genes})")
     genes = common_genes(counts) if method == "inner" else counts.select(GENE).distinct()
     kept = counts.join(genes, GENE, "left_semi") if method == "inner" else counts
-    slots = kept.select(STUDY, SAMPLE).distinct()
-    everyone = counts.select(STUDY, SAMPLE).distinct() if method == "outer" else slots
-    # One list per study, at most its samples; genes x studies rows carry the cell maps.
-    lists = everyone.groupBy(STUDY).agg(F.sort_array(F.collect_list(SAMPLE)).alias("_all"))
-    maps = kept.groupBy(GENE, STUDY).agg(F.map_from_entries(F.collect_list(F.struct(SAMPLE, "count"))).alias("_cells"))
-    # One row holding the study names (as many as studies) rides to every gene; no keyless join.
-    studies = counts.select(STUDY).distinct().agg(F.collect_list(STUDY).alias("_s"))
-    grid = genes.crossJoin(F.broadcast(studies)).select(GENE, F.explode("_s").alias(STUDY))
-    zero = F.lit(0).cast(counts.schema["count"].dataType)
-    return (grid.join(maps, [GENE, STUDY], "left").join(lists, STUDY)
-            .select(STUDY, GENE, "_cells", F.explode("_all").alias(SAMPLE))
-            .select(STUDY, GENE, SAMPLE, F.coalesce(F.element_at("_cells", F.col(SAMPLE)), zero).alias("count")))
+    samples = counts.select(STUDY, SAMPLE).distinct()
+    return fill_genes(kept, samples, genes, [STUDY, SAMPLE], [], "count").select(STUDY, GENE, SAMPLE, "count")
 
 
 def merge_metadata(frames: dict[str, DataFrame], info: dict[str, tuple[str, str]]) -> DataFrame:
