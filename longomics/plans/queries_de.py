@@ -137,10 +137,13 @@ def _(t):
     return rounded(c.drop("binomial_p"), "agreement_fraction")
 
 
-@query("cross_cohort_binomial")
+@query("cross_cohort_binomial", with_views("de", STD, SIG, "d AS (SELECT contrast_id, method, gene_id, CASE WHEN lfc > 0 THEN 'up' ELSE 'down' END AS dir FROM sig WHERE s)",
+       "j AS (SELECT a.method, count(*) AS n, count(*) FILTER (WHERE a.dir = b.dir) AS k FROM (SELECT * FROM d WHERE contrast_id = 'O') a JOIN (SELECT * FROM d WHERE contrast_id = 'F') b ON a.method = b.method AND a.gene_id = b.gene_id GROUP BY 1)") +
+       f"SELECT method, n AS n_common, k AS n_agree, {rq('CASE WHEN 2 * k = n THEN 1 ELSE least(1.0, 2 * list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0)) FOR i IN range(greatest(k, n - k), n + 1)])) END', 'binomial_p')} FROM j")
 def _(t):
     s = sig(t).where("is_significant")
-    return rounded(compare.cross_cohort(s.where("contrast_id = 'O'"), s.where("contrast_id = 'F'"), ["method"]), "binomial_p")
+    c = compare.cross_cohort(s.where("contrast_id = 'O'"), s.where("contrast_id = 'F'"), ["method"])
+    return rounded(c.select("method", "n_common", "n_agree", "binomial_p"), "binomial_p")
 
 
 BH = """o AS (SELECT *, count(*) OVER w * 1.0 AS m, row_number() OVER (PARTITION BY contrast_id, method ORDER BY p_value, gene_id) AS r FROM de WINDOW w AS (PARTITION BY contrast_id, method)),

@@ -97,9 +97,17 @@ def _(t):
     return rounded(e.select("pathway", "overlap_count", "gene_set_size", "odds_ratio"), "odds_ratio")
 
 
-@query("enrichment_fisher")
+HYPER = """t AS (SELECT pathway, ov, sz, ov * (nu - nq - sz + ov) / greatest((nq - ov) * (sz - ov), 1) AS odds, least(1.0, list_sum([
+  exp(lgamma(sz + 1) - lgamma(k + 1) - lgamma(sz - k + 1) + lgamma(nu - sz + 1) - lgamma(nq - k + 1) - lgamma(nu - sz - nq + k + 1) - lgamma(nu + 1) + lgamma(nq + 1) + lgamma(nu - nq + 1)) FOR k IN range(ov, least(sz, nq) + 1)])) AS p FROM c, n WHERE sz >= 2 AND ov > 0),
+t1 AS (SELECT *, round(p, 12) AS pr FROM t),
+t2 AS (SELECT *, count(*) OVER () * 1.0 AS m, rank() OVER (ORDER BY pr) - 1 + count(*) OVER (PARTITION BY pr) AS r FROM t1),
+t3 AS (SELECT *, least(1.0, min(p * m / r) OVER (ORDER BY pr DESC ROWS UNBOUNDED PRECEDING)) AS q FROM t2)"""
+
+
+@query("enrichment_fisher", with_views("de gene_sets", *ORA, HYPER) + f"SELECT pathway, ov AS overlap_count, sz AS gene_set_size, nq AS n_query, nu AS n_universe, {rq('odds', 'odds_ratio')}, {rq('p', 'p_value')}, {rq('q', 'adjusted_p_value', 5)} FROM t3, n")
 def _(t):
-    return rounded(genetests.over_representation(t.de().where("padj < 0.5"), t.gene_sets()), "odds_ratio", "p_value", "adjusted_p_value")
+    e = genetests.over_representation(t.de().where("padj < 0.5"), t.gene_sets())
+    return rounded(rounded(e, "odds_ratio", "p_value"), "adjusted_p_value", digits=5)
 
 
 SEL = "sl AS (SELECT DISTINCT contrast_id || method AS method, gene_id, round(abs(log2fc), 4) AS score, padj < 0.5 AS selected FROM de WHERE padj < 0.9)"
