@@ -248,6 +248,8 @@ def compare_ensembles(de: DataFrame, significance: float = 0.05, min_methods: in
     for name, frame in found.items():
         part = frame.select("contrast_id", F.lit(name).alias("ensemble"), "direction")
         stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy("contrast_id", "ensemble").agg(
+    sizes = stacked.groupBy("contrast_id", "ensemble").agg(
         F.count(F.lit(1)).alias("n_consensus"), F.count_if(F.col("direction") == "up").alias("n_up"),
         F.count_if(F.col("direction") == "down").alias("n_down"))
+    every = de.select("contrast_id").distinct().withColumn("ensemble", F.explode(F.array(*[F.lit(n) for n in found])))
+    return every.join(sizes, ["contrast_id", "ensemble"], "left").fillna(0, ["n_consensus", "n_up", "n_down"])
