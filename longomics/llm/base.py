@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# ASCII other than letters and digits.
+MARKS = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -66,13 +68,14 @@ def chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = min(end, n)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` in order, and each word's row. Words end at row ends."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True,
+                border: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of bytes outside ``border`` in order, and each run's row. Words end at row ends."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = LOWER[raw] if lower else raw
-    inside = ~SPACE[data]
+    inside = ~border[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     begin = inside & (cut[:-1] | np.concatenate(([True], ~inside[:-1])))

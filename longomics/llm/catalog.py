@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, pii, tokens, urlfilter
+from . import decontaminate, langid, mixing, pii, quality, tokens, urlfilter
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_captures(pages.withColumn("fetched_on", F.expr(_FETCHED)), events)
 
 
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_quality_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(3, 1)
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
