@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import ordered
 from ..runtime import cut
 
+SALTS = 64
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -72,7 +73,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     targets = source_targets(sizes, weights, max_copies)
     mass = sizes.groupBy("source").agg(F.sum(F.col("_w") * F.col("size")).alias("_mass"))
     plan = targets.join(mass, targets["source"].eqNullSafe(mass["source"])).drop(mass["source"])
-    joined = sizes.join(plan.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    # A source may hold a third of all rows: rows are dealt by (source, salt) and the short plan is repeated per salt.
+    dealt = sizes.withColumn("_salt", F.pmod(F.xxhash64("_key", "_u", "size"), F.lit(SALTS)))
+    short = plan.withColumnRenamed("source", "_src").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = dealt.join(short, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_salt") == F.col("_turn"))) \
+        .drop("_src", "_salt", "_turn")
     expected = F.when(F.col("_mass") > 0, F.least(F.col("target") * F.col("_w") / F.col("_mass"), F.lit(float(max_copies)))).otherwise(0.0)
     sure = F.floor("_e").cast("long")
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
