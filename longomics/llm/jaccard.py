@@ -65,27 +65,56 @@ def _counter(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(48)).astype(np.int64)
 
 
+def profiles(values: np.ndarray, rows: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Per row the numbers of tokens in equal slices of the universe, about four tokens a slice, each up to 255."""
+    n = np.diff(start)
+    power = np.clip(np.ceil(np.log2(np.maximum(n / 4, 1))), 0, 20).astype(np.int64)
+    size = 1 << power
+    base = np.cumsum(size) - size
+    slot = np.where(power[rows] > 0, values >> (64 - np.maximum(power[rows], 1)).astype(np.uint64), 0).astype(np.int64)
+    flat = np.minimum(np.bincount(base[rows] + slot, minlength=int(size.sum())), 255).astype(np.uint8).tobytes()
+    return [flat[b:b + k] for b, k in zip(base.tolist(), size.tolist())]
+
+
+def fold(profile: np.ndarray, size: int) -> np.ndarray:
+    return np.minimum(profile.reshape(size, -1).sum(axis=1, dtype=np.int64), 255)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles differ by no more than linked sets may: the difference of profiles is a lower bound."""
+    for batch in batches:
+        keep = []
+        for x, y, r, t in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            a, b = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            k = min(len(a), len(b))
+            keep.append(int(np.abs(fold(a, k) - fold(b, k)).sum()) <= (r + t) // 7)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    names = ["key", "rk", "n", "digest", "slice", "counts"]
+    names = ["key", "rk", "n", "digest", "profile", "slice", "counts"]
     kind = None
     for batch in batches:
         kind = batch.column(0).type
         raw, offsets = text_bytes(batch.column(2))
-        sizes, marks = [], []
+        sizes, marks, shapes = [], [], []
         for a, b in chunks(offsets, CHUNK):
-            values, _, start = sets_of(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            values, rows, start = sets_of(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             counts += np.bincount(_counter(values), minlength=COUNTERS)
             sizes.append(np.diff(start))
             marks.append(digests(values, start))
+            shapes += profiles(values, rows, start)
         n = len(batch)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if n else [], pa.int64()),
-             pa.array(np.concatenate(marks) if n else [], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+             pa.array(np.concatenate(marks) if n else [], pa.int64()), pa.array(shapes, pa.binary()),
+             pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if kind is not None:
         parts = [p.tobytes() for p in counts.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, kind), *[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            [pa.nulls(SLICES, kind), *[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()),
+             pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -249,15 +278,19 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a group whose ends lie in different components and whose sizes allow a link."""
+    """Pairs of a group with ends in different components whose sizes and profiles allow a link."""
     node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
     order = np.argsort(n, kind="stable")
+    shapes = [np.frombuffer(table["profile"][int(k)].as_py(), np.uint8) for k in order]
     node, part, n = node[order], part[order], n[order]
+    size = min(map(len, shapes))
+    shape = np.stack([fold(x, size) for x in shapes]).astype(np.int16)
     left, right = [], []
     stop = np.searchsorted(n, 4 * n // 3, side="right")
     for k in range(len(node)):
         others = np.arange(k + 1, stop[k])
         others = others[part[others] != part[k]]
+        others = others[np.abs(shape[others] - shape[k]).sum(axis=1, dtype=np.int64) <= (n[others] + n[k]) // 7]
         left.append(np.full(len(others), node[k]))
         right.append(node[others])
     a, b = np.concatenate(left), np.concatenate(right)
@@ -308,53 +341,58 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("rk"), F.col(text).alias("t"))
-    described = cut(rows.mapInArrow(_describe, f"key {kind}, rk long, n long, digest long, slice int, counts binary"))
+    described = cut(rows.mapInArrow(_describe, f"key {kind}, rk long, n long, digest long, profile binary, slice int, counts binary"))
     common = context.broadcast(common_slots(described))
-    facts = described.where(F.col("slice").isNull()).select("key", "rk", "n", "digest")
-    nodes = facts.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.min("rk").alias("rk"), F.max("n").alias("n"))
+    described = described.where(F.col("slice").isNull())
+    facts = described.select("key", "rk", "n", "digest")
+    nodes = described.where("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.min("rk").alias("rk"), F.max("n").alias("n"), F.min("profile").alias("profile"))
 
     entries = rows.select("t").mapInArrow(_entries(common, buckets), "bucket int, high binary, low binary, nodes binary")
     groups = cut(entries.groupBy("bucket").applyInArrow(_groups, "gid long, pivot long, node long")
                  .groupBy("gid", "node").agg(F.min("pivot").alias("pivot")))
-    size = nodes.select(F.col("digest").alias("node"), "n")
-    # Only nodes that met another one matter from here on: their sets are built once more and written.
     met = groups.select("node").union(groups.select("pivot")).distinct()
-    known = cut(met.join(nodes.withColumnRenamed("digest", "node"), "node"))
-    bits = context.broadcast(_bitmap(known))
-    bodies = rows.select("rk", "t").mapInArrow(_find_sets(bits), "node long, body binary") \
-        .join(met, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    bodies = cut(bodies)
-    sized = known.select("node", "n")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a") \
-            .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-        return cut(sides.mapInArrow(_overlap, "a long, b long, good boolean"))
+    known = cut(met.join(nodes.withColumnRenamed("digest", "node"), "node").select("node", "rk", "n", "profile"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a") \
-            .join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return both.where(3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb")).select("a", "b")
+        """Pairs that sizes and profiles don't rule out."""
+        both = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("x")), "a") \
+            .join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("y")), "b") \
+            .where(3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb"))
+        return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(_near, "a long, b long")
 
     def labelled(found: DataFrame, links: DataFrame, name: str, out: str) -> DataFrame:
         part = links.select(F.col("node").alias(name), F.col("component").alias(out))
         return found.join(part, name, "left").withColumn(out, F.coalesce(out, name))
 
+    def bodies(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes of ``pairs``, built from the texts once more and written."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = cut(ends.join(known.select("node", "rk"), "node"))
+        bits = context.broadcast(_bitmap(wanted))
+        return cut(rows.select("rk", "t").mapInArrow(_find_sets(bits), "node long, body binary")
+                   .join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a") \
+            .join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+        return cut(sides.mapInArrow(_overlap, "a long, b long, good boolean"))
+
     # First one link per node, then the stars across components, then all pairs across components.
-    star = groups.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    tried = verify(fitting(star.groupBy("a").agg(F.min("b").alias("b"))))
+    star = cut(fitting(groups.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
+    sets = bodies(star)
+    tried = verify(star.groupBy("a").agg(F.min("b").alias("b")), sets)
     links = components(tried.where("good"))
-    open_star = labelled(labelled(star.distinct(), links, "a", "ca"), links, "b", "cb").where("ca != cb").select("a", "b")
-    second = verify(fitting(open_star.join(tried, ["a", "b"], "left_anti")))
-    tried = cut(tried.unionByName(second))
+    open_star = labelled(labelled(star, links, "a", "ca"), links, "b", "cb").where("ca != cb").select("a", "b")
+    tried = cut(tried.unionByName(verify(open_star.join(tried, ["a", "b"], "left_anti"), sets)))
     links = components(tried.where("good"))
     members = groups.select("gid", "node").union(groups.select("gid", F.col("pivot").alias("node"))).distinct()
     parts = labelled(members, links, "node", "component")
     mixed = parts.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")) \
         .where("lo != hi and m > 2").select("gid")
-    spread = parts.join(mixed, "gid").join(sized, "node").groupBy("gid").applyInArrow(_cross_pairs, "a long, b long").distinct()
-    third = verify(spread.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    links = cut(components(tried.unionByName(third).where("good")))
+    spread = parts.join(mixed, "gid").join(known, "node").select("gid", "node", "component", "n", "profile") \
+        .groupBy("gid").applyInArrow(_cross_pairs, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    spread = cut(spread)
+    links = cut(components(tried.unionByName(verify(spread, bodies(spread))).where("good")))
 
     named = labelled(nodes.select("digest", "key").withColumnRenamed("digest", "node"), links, "node", "component")
     least = named.groupBy("component").agg(F.min("key").alias("least"))
