@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, langid, mixing, pii, quality, tokens, urlfilter
+from . import decontaminate, jaccard, langid, mixing, neardup, pii, quality, tokens, urlfilter
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(4, 2)
     learned = langid.learn(docs, ~out)
     return langid.identify(docs, learned).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op10_embedding_near_dup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
