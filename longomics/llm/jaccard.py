@@ -10,9 +10,10 @@ miss the partner, so two linked documents meet in one. A document with fewer che
 one-deletion neighbourhoods of those with two uncommon tokens (such a subset stands for two units of difference) and
 takes common or empty subsets only where the units stay below H + 1.
 
-Nodes of the graph are distinct sets, so copies cost one entry per task and subset. A subset's group is verified as a
-star first; pairs inside a group are verified only while their ends are in different components, which keeps a large
-group of near copies linear and loses no component. Entries travel as packed bytes; nothing but counters and component
+Nodes of the graph are distinct sets, so copies cost one entry per task and subset. Pairs of a group are ruled out by
+profiles first (token numbers in slices of the universe; their difference bounds the difference of the sets from
+below). Of the rest each node verifies its nearest partner, then each group its nearest pairs, then all pairs whose
+ends still are in different components: a large group of near copies stays linear and no component is lost. Entries travel as packed bytes; nothing but counters and component
 sums reaches the driver. Sets of candidates are found again by a bitmap of fixed size over row hashes.
 
 Defined cases: null, empty and blank texts have no shingles, size 0 and are their own component; fewer than five words
@@ -80,17 +81,6 @@ def fold(profile: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(profile.reshape(size, -1).sum(axis=1, dtype=np.int64), 255)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose profiles differ by no more than linked sets may: the difference of profiles is a lower bound."""
-    for batch in batches:
-        keep = []
-        for x, y, r, t in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-            a, b = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-            k = min(len(a), len(b))
-            keep.append(int(np.abs(fold(a, k) - fold(b, k)).sum()) <= (r + t) // 7)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, dtype=np.int64)
     names = ["key", "rk", "n", "digest", "profile", "slice", "counts"]
@@ -277,24 +267,40 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
 
-def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a group with ends in different components whose sizes and profiles allow a link."""
+def _cross(table: pa.Table, nearest: bool) -> pa.Table:
+    """Pairs of a group with ends in different components whose sizes and profiles allow a link, with the difference of
+    the profiles; ``nearest``: for each node only the pair with the smallest one."""
     node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
-    order = np.argsort(n, kind="stable")
-    shapes = [np.frombuffer(table["profile"][int(k)].as_py(), np.uint8) for k in order]
-    node, part, n = node[order], part[order], n[order]
+    shapes = [np.frombuffer(x.as_py(), np.uint8) for x in table["profile"]]
     size = min(map(len, shapes))
     shape = np.stack([fold(x, size) for x in shapes]).astype(np.int16)
-    left, right = [], []
-    stop = np.searchsorted(n, 4 * n // 3, side="right")
-    for k in range(len(node)):
-        others = np.arange(k + 1, stop[k])
-        others = others[part[others] != part[k]]
-        others = others[np.abs(shape[others] - shape[k]).sum(axis=1, dtype=np.int64) <= (n[others] + n[k]) // 7]
-        left.append(np.full(len(others), node[k]))
-        right.append(node[others])
+    left, right, far = [], [], []
+    step = max(1, (4 << 20) // (len(node) * size))
+    for k in range(0, len(node), step):
+        mine = slice(k, k + step)
+        gap = np.abs(shape[mine, None] - shape[None]).sum(axis=2, dtype=np.int32)
+        both = n[mine, None] + n[None]
+        ok = (part[mine, None] != part[None]) & (gap <= both // 7) & (3 * np.maximum(n[mine, None], n[None]) <= 4 * np.minimum(n[mine, None], n[None]))
+        if nearest:
+            gap = np.where(ok, gap, np.iinfo(np.int32).max)
+            best = gap.argmin(axis=1)
+            row = np.flatnonzero(ok.any(axis=1))
+            col = best[row]
+        else:
+            row, col = np.nonzero(ok & (node[mine, None] > node[None]))
+        left.append(node[mine][row])
+        right.append(node[col])
+        far.append(gap[row, col])
     a, b = np.concatenate(left), np.concatenate(right)
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "gap": np.concatenate(far).astype(np.int64)})
+
+
+def _nearest(table: pa.Table) -> pa.Table:
+    return _cross(table, True)
+
+
+def _all_pairs(table: pa.Table) -> pa.Table:
+    return _cross(table, False)
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
@@ -353,13 +359,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = groups.select("node").union(groups.select("pivot")).distinct()
     known = cut(met.join(nodes.withColumnRenamed("digest", "node"), "node").select("node", "rk", "n", "profile"))
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and profiles don't rule out."""
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("profile").alias("x")), "a") \
-            .join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("y")), "b") \
-            .where(3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb"))
-        return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(_near, "a long, b long")
-
     def labelled(found: DataFrame, links: DataFrame, name: str, out: str) -> DataFrame:
         part = links.select(F.col("node").alias(name), F.col("component").alias(out))
         return found.join(part, name, "left").withColumn(out, F.coalesce(out, name))
@@ -377,22 +376,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             .join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
         return cut(sides.mapInArrow(_overlap, "a long, b long, good boolean"))
 
-    # First one link per node, then the stars across components, then all pairs across components.
-    star = cut(fitting(groups.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
-    sets = bodies(star)
-    tried = verify(star.groupBy("a").agg(F.min("b").alias("b")), sets)
-    links = components(tried.where("good"))
-    open_star = labelled(labelled(star, links, "a", "ca"), links, "b", "cb").where("ca != cb").select("a", "b")
-    tried = cut(tried.unionByName(verify(open_star.join(tried, ["a", "b"], "left_anti"), sets)))
+    members = cut(groups.select("gid", "node").union(groups.select("gid", F.col("pivot").alias("node"))).distinct()
+                  .join(known.select("node", "n", "profile"), "node"))
+    pair = "a long, b long, gap long"
+
+    def spread(links: DataFrame | None, fn) -> DataFrame:
+        """Pairs by ``fn`` from the groups that lie in more than one component."""
+        if links is None:
+            return members.withColumn("component", F.col("node")).groupBy("gid").applyInArrow(fn, pair)
+        parts = labelled(members, links, "node", "component")
+        mixed = parts.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
+        return parts.join(mixed, "gid").groupBy("gid").applyInArrow(fn, pair)
+
+    # First the nearest partner of each node, then the nearest one of each group, then all pairs that are still open.
+    near = cut(spread(None, _nearest).groupBy("a", "b").agg(F.min("gap").alias("gap")))
+    ends = near.select(F.col("a").alias("node"), "a", "b", "gap").union(near.select("b", "a", "b", "gap"))
+    first = cut(ends.groupBy("node").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    tried = verify(first, bodies(first))
+    for fn in (_nearest, _all_pairs):
+        links = components(tried.where("good"))
+        more = cut(spread(links, fn).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        tried = cut(tried.unionByName(verify(more, bodies(more))))
     links = components(tried.where("good"))
-    members = groups.select("gid", "node").union(groups.select("gid", F.col("pivot").alias("node"))).distinct()
-    parts = labelled(members, links, "node", "component")
-    mixed = parts.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")) \
-        .where("lo != hi and m > 2").select("gid")
-    spread = parts.join(mixed, "gid").join(known, "node").select("gid", "node", "component", "n", "profile") \
-        .groupBy("gid").applyInArrow(_cross_pairs, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    spread = cut(spread)
-    links = cut(components(tried.unionByName(verify(spread, bodies(spread))).where("good")))
 
     named = labelled(nodes.select("digest", "key").withColumnRenamed("digest", "node"), links, "node", "component")
     least = named.groupBy("component").agg(F.min("key").alias("least"))
