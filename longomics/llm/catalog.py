@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, langid, mixing, neardup, pii, quality, tokens, urlfilter
+from . import decontaminate, jaccard, langid, mixing, neardup, pii, quality, substrings, tokens, urlfilter
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,11 @@ def _listed_events(pages: DataFrame) -> DataFrame:
     return listed.select("list", "value", F.explode(events).alias("x")).where("x IS NOT NULL").select("list", "value", "x.on", "x.action")
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op7_benchmark_leaks")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
