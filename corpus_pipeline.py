@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from longomics.llm import langid, mixing, pii
+from longomics.llm import decontaminate, jaccard, langid, mixing, pii
 from longomics.runtime import scratch_path
 
 
@@ -13,6 +13,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accept(docs, langid.learn(docs, docs["lang"].isNotNull()))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by shingle Jaccard of 3/4 or more."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold the question and answer of a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the text by tags and keeps ``n_chars`` true."""
     return pii.redact_documents(docs)
@@ -23,7 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, carry=("source", "lang"))
 
 
-STAGES = [("language_id", language), ("pii", personal_data), ("source_mix", source_mix)]
+STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("benchmark_leaks", benchmark_leaks),
+          ("pii", personal_data), ("source_mix", source_mix)]
 
 # Compression, similarity joins and fitted models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

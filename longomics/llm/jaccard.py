@@ -406,3 +406,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return own.join(label, "digest", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of one document of each group of linked ones (the smallest key), all columns unchanged.
+
+    Rows without words and rows without a key stay. Of the rows of one key one stays; it goes when all its rows lie in
+    groups of a smaller key.
+    """
+    found = join(docs, key, text).where(F.col(key).isNotNull())
+    state = cut(found.groupBy(key).agg(F.min(F.col("component_id") != F.col(key)).alias("goes"), F.count(F.lit(1)).alias("rows")))
+    left = docs.join(state.where("goes").select(key), key, "left_anti")
+    repeated = state.where("rows > 1").select(key, F.lit(True).alias("_again"))
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    marked = left.join(repeated, key, "left")
+    once = marked.where("_again").dropDuplicates([key])
+    return marked.where(F.col("_again").isNull()).unionByName(once).select(docs.columns)
