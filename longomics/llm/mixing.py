@@ -83,9 +83,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     ratio = F.when(F.col("_p") > 0, odds).otherwise(F.lit(float("inf")))
     rows = (joined.withColumn("_e", expected).withColumn("_sure", sure).withColumn("_p", F.col("_e") - F.col("_sure"))
-            .withColumn("_q", ratio).withColumn("_certain", F.col("_sure") * F.col("size")).drop("_e", "_w", "_u", "_mass"))
+            .withColumn("_q", ratio).withColumn("_certain", F.col("_sure") * F.col("size")).drop("_e", "_w", "_u", "_mass")
+            # The scan joins its carries on the group, where a null would meet nothing.
+            .withColumn("_of", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))))
     order = ["_q", "_key", "size"]
-    placed = ordered.scan(ordered.block_order(rows, ["source"], order), ["source"], order,
+    placed = ordered.scan(ordered.block_order(rows, ["_of"], order), ["_of"], order,
                           {"_upto": ("sum", "size"), "_given": ("sum", "_certain")}, totals={"_all": "_given"})
     more = (F.col("_p") > 0) & (2 * F.col("_upto") - F.col("size") <= 2 * (F.col("target") - F.col("_all")))
     copies = F.col("_sure") + more.cast("long")
