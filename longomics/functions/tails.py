@@ -15,14 +15,20 @@ from pyspark.sql.types import DoubleType
 EPS = 2.220446049250313e-16
 
 
-def chi2_even_upper(stat: Column, k: Column, k_max: int) -> Column:
-    """Upper tail of chi-square with 2k degrees of freedom (Erlang sum), k <= k_max."""
+def chi2_even_upper(stat: Column, k: Column) -> Column:
+    """Upper tail of chi-square with 2k degrees of freedom: the Erlang sum over the row's own k terms.
+
+    Terms are kept as logarithms, so neither a large statistic nor a large k leaves the range of a double.
+    """
     half = stat / 2.0
-    term, total = F.lit(1.0), F.lit(0.0)
-    for i in range(k_max):
-        total = total + F.when(k > i, term).otherwise(0.0)
-        term = term * half / float(i + 1)
-    return F.exp(-half) * total
+    later = F.when(k > 1, F.sequence(F.lit(1), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct((-half).alias("log"), F.exp(-half).alias("sum"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = F.when(half > 0, acc["log"] + F.ln(half) - F.ln(i.cast("double"))).otherwise(F.lit(float("-inf")))
+        return F.struct(term.alias("log"), (acc["sum"] + F.exp(term)).alias("sum"))
+
+    return F.when(k > 0, F.least(F.aggregate(later, start, add, lambda acc: acc["sum"]), F.lit(1.0)))
 
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -169,8 +170,10 @@ def bootstrap_metric(df: DataFrame, metric: Callable[[Column, Column, Column], C
     only replicates x partitions rows for the shuffle. One-class resamples are skipped.
     """
     keys = list(by)
-    # Cumulative Poisson(1) probabilities for weights 0..7.
-    cdf = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+    # Cumulative Poisson(1) probabilities up to the resolution of the 53-bit draw.
+    cdf, term = [math.exp(-1.0)], math.exp(-1.0)
+    while (term := term / len(cdf)) > 2.0 ** -53:
+        cdf.append(cdf[-1] + term)
     u = F.pmod(F.xxhash64(row_id, "rep", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     weight = F.lit(0)
     for c in cdf:

@@ -334,8 +334,9 @@ def panel_prefixes(ranking: DataFrame, sizes: Sequence[int]) -> DataFrame:
     return top.withColumn("size", F.explode(arr)).select("size", "position", GENE)
 
 
-def top_genes(ranking: DataFrame, k: int) -> list:
-    return [r[GENE] for r in ranking.where(F.col("consensus_rank") <= k).orderBy("consensus_rank").select(GENE).toLocalIterator()]
+def top_genes(ranking: DataFrame, k: int | None = None) -> list:
+    chosen = ranking if k is None else ranking.where(F.col("consensus_rank") <= k)
+    return [r[GENE] for r in chosen.orderBy("consensus_rank").select(GENE).toLocalIterator()]
 
 
 def panel_vectors(values: DataFrame, genes: Sequence) -> DataFrame:
@@ -402,8 +403,8 @@ def panel_size(curve: Sequence[tuple[int, float]], strategy: str = "kneedle", se
     return (int(knee), "kneedle") if knee is not None else (best, "argmax_fallback")
 
 
-def curve_points(curve: DataFrame, limit: int = 10_000) -> list[tuple[int, float]]:
-    return [(r["panel_size"], r["auc_mean"]) for r in curve.orderBy("panel_size").limit(limit).collect()]
+def curve_points(curve: DataFrame) -> list[tuple[int, float]]:
+    return [(r["panel_size"], r["auc_mean"]) for r in curve.orderBy("panel_size").collect()]
 
 
 def stability_selection(values: DataFrame, alphas: Sequence[float] = (0.01, 0.05, 0.1, 0.5, 1.0), replicates: int = 100,

@@ -212,7 +212,7 @@ def enhance(values: DataFrame, discovery: dict[str, DataFrame], intent: str = "d
     """
     if intent not in INTENTS:
         raise ValueError(f"intent must be one of {sorted(INTENTS)}")
-    genes = selection.top_genes(discovery["panel"], 10_000)
+    genes = selection.top_genes(discovery["panel"])
     out: dict = {"intent": INTENTS[intent]}
     if intent == "prognostic":
         if survival_cells is None:

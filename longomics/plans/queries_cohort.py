@@ -80,16 +80,16 @@ def _(t):
 FROM g CROSS JOIN s LEFT JOIN t ON t.gene_id = g.gene_id AND t.sample_id = s.sample_id""")
 def _(t):
     a = whole(t)
-    ids = [r[0] for r in a.select("sample_id").distinct().orderBy("sample_id").limit(1000).collect()]
+    ids = [r[0] for r in a.select("sample_id").distinct().orderBy("sample_id").collect()]
     path = scratch_path(t.spark, "matrix")
     sinks.export_matrix(a, ids, path)
     return files.count_matrix(t.spark, path)
 
 
-@query("sink_wide_matrix", with_views("counts") + "SELECT gene_id, " + ", ".join(f"CAST(coalesce(sum(count) FILTER (WHERE sample_id = {i}), 0) AS BIGINT) AS s{i}" for i in range(8)) + " FROM counts GROUP BY 1")
+@query("sink_wide_matrix", with_views("counts") + "SELECT gene_id, " + ", ".join(f"CAST(coalesce(sum(count) FILTER (WHERE sample_id = {i}), 0) AS BIGINT) AS s{i}" for i in range(24)) + " FROM counts GROUP BY 1")
 def _(t):
     w = sinks.wide_matrix(whole(t), list(range(24)))
-    return w.select("gene_id", *[F.col(str(i)).alias(f"s{i}") for i in range(8)])
+    return w.select("gene_id", *[F.col(str(i)).alias(f"s{i}") for i in range(24)])
 
 
 @query("sink_dataset_roundtrip", with_views("counts") + "SELECT dataset_id, gene_id, sample_id, count FROM counts")

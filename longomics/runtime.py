@@ -12,11 +12,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``, else a local one."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``. Only a local master may go without and gets its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="longomics-")
         sc.setCheckpointDir(named)
     return named or current

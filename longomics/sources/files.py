@@ -322,7 +322,7 @@ def log_metrics(df: DataFrame, tool: str) -> DataFrame:
     }
     if tool == "feature_counts":
         lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.split(s, "\t")), lambda p: F.size(p) >= 2)
-        values = F.transform(F.slice(lines, 2, 1000), lambda p: F.struct(p[0].alias("k"), p[1].try_cast("bigint").alias("v")))
+        values = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0))), lambda p: F.struct(p[0].alias("k"), p[1].try_cast("bigint").alias("v")))
         total = F.aggregate(values, F.lit(0).cast("bigint"), lambda a, e: a + F.coalesce(e["v"], F.lit(0)))
         got = F.get(F.filter(values, lambda e: e["k"] == "Assigned"), F.lit(0))["v"]
         out = df.select("sample_id", F.coalesce(got, F.lit(0)).alias("assigned"), total.alias("total"))
