@@ -74,7 +74,7 @@ def classify(text: str | None, names: list[str], codecs: list[zstandard.ZstdComp
 
 
 def identify(docs: DataFrame, learned: list[tuple[str, bytes]], key: str = "doc_id", text: str = "text",
-             min_margin: float = 0.01) -> DataFrame:
+             min_margin: float = 0.003) -> DataFrame:
     """``key``, ``lang_pred``, ``score``, ``margin`` and ``rejected`` (unknown, or a margin under ``min_margin``)."""
     names = [n for n, _ in learned]
 
@@ -93,7 +93,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], key: str = "doc_
         run, f"`{key}` {kind}, lang_pred string, score double, margin double, rejected boolean")
 
 
-def accept(docs: DataFrame, learned: list[tuple[str, bytes]], text: str = "text", min_margin: float = 0.01) -> DataFrame:
+def accept(docs: DataFrame, learned: list[tuple[str, bytes]], text: str = "text", min_margin: float = 0.003) -> DataFrame:
     """The rows whose language is known by a wide enough margin, all columns unchanged."""
     names, place = [n for n, _ in learned], docs.columns.index(text)
 
