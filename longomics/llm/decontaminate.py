@@ -145,14 +145,18 @@ class Index:
         base = first // step + rows[place] + 1  # distinct and increasing from row to row
         window = base + slot
         rare = self.essential[term]
-        both = np.unique(np.concatenate([np.stack([window[rare], term[rare]], 1), np.stack([window[rare] - 1, term[rare]], 1)]), axis=0)
+        n_terms = len(self.terms)
+        both = np.unique(np.concatenate([window[rare], window[rare] - 1]) * n_terms + np.tile(term[rare], 2))
         found: list[tuple[int, int, float, float, float]] = []
         if not len(both):
             return found
-        names, inverse = np.unique(both[:, 0], return_inverse=True)
-        alive = np.concatenate([names[k:k + 4096][(self.bounds(
-            inverse[(inverse >= k) & (inverse < k + 4096)] - k, both[(inverse >= k) & (inverse < k + 4096), 1],
-            min(4096, len(names) - k)) >= THRESHOLD - SLACK - 1e-9).any(axis=1)] for k in range(0, len(names), 4096)])
+        names, inverse = np.unique(both // n_terms, return_inverse=True)
+        terms_of, alive = both % n_terms, []
+        for k in range(0, len(names), 4096):
+            part = slice(*np.searchsorted(inverse, [k, k + 4096]))
+            bound = self.bounds(inverse[part] - k, terms_of[part], min(4096, len(names) - k))
+            alive.append(names[k:k + 4096][(bound >= THRESHOLD - SLACK - 1e-9).any(axis=1)])
+        alive = np.concatenate(alive)
         order = np.argsort(window, kind="stable")
         sorted_window = window[order]
         done: set[tuple[int, int]] = set()
