@@ -13,8 +13,10 @@ takes common or empty subsets only where the units stay below H + 1.
 Nodes of the graph are distinct sets, so copies cost one entry per task and subset. Pairs of a group are ruled out by
 profiles first (token numbers in slices of the universe; their difference bounds the difference of the sets from
 below). Of the rest each node verifies its nearest partner, then each group its nearest pairs, then all pairs whose
-ends still are in different components: a large group of near copies stays linear and no component is lost. Entries travel as packed bytes; nothing but counters and component
-sums reaches the driver. Sets of candidates are found again by a bitmap of fixed size over row hashes.
+ends still are in different components: a large group of near copies stays linear and no component is lost. In that
+last step a member row names the smaller groups of its node, at most its own index entries, and a pair is made in the
+smallest group that both share, so once. Entries travel as packed bytes; nothing but counters and component sums
+reaches the driver. Sets of candidates are found again by a bitmap of fixed size over row hashes.
 
 Defined cases: null, empty and blank texts have no shingles, size 0 and are their own component; fewer than five words
 are one shingle; a null id is returned with a null component unless linked to an id; repeated ids take the component
@@ -267,14 +269,38 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
 
+def _met_before(earlier: pa.ChunkedArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the members at ``left`` and ``right`` share a smaller group; ``earlier`` lists those of each member."""
+    groups = earlier.combine_chunks()
+    owner = np.repeat(np.arange(len(groups)), groups.value_lengths().to_numpy())
+    _, slot, count = np.unique(groups.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    owner, slot = owner[count[slot] > 1], place[slot[count[slot] > 1]]
+    met = np.zeros(len(left), dtype=bool)
+    shared = int(slot.max(initial=-1)) + 1
+    width = min(shared, max(64, (32 << 20) // max(len(groups), 1)))
+    for k in range(0, shared, max(width, 1)):
+        flags = np.zeros((len(groups), width), dtype=bool)
+        here = (slot >= k) & (slot < k + width)
+        flags[owner[here], slot[here] - k] = True
+        bits = np.packbits(flags, axis=1)
+        rest = np.flatnonzero(~met)
+        step = max(1, (32 << 20) // bits.shape[1])
+        for j in range(0, len(rest), step):
+            some = rest[j:j + step]
+            met[some] = (bits[left[some]] & bits[right[some]]).any(axis=1)
+    return met
+
+
 def _cross(table: pa.Table, nearest: bool) -> pa.Table:
     """Pairs of a group with ends in different components whose sizes and profiles allow a link, with the difference of
-    the profiles; ``nearest``: for each node only the pair with the smallest one."""
+    the profiles; ``nearest``: for each node with such pairs only the one with the smallest difference, else those without
+    a smaller group in common."""
     node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
     shapes = [np.frombuffer(x.as_py(), np.uint8) for x in table["profile"]]
     size = min(map(len, shapes))
     shape = np.stack([fold(x, size) for x in shapes]).astype(np.int16)
-    left, right, far = [], [], []
+    left, right, far, whose = [], [], [], []
     step = max(1, (4 << 20) // (len(node) * size))
     for k in range(0, len(node), step):
         mine = slice(k, k + step)
@@ -288,11 +314,15 @@ def _cross(table: pa.Table, nearest: bool) -> pa.Table:
             col = best[row]
         else:
             row, col = np.nonzero(ok & (node[mine, None] > node[None]))
+            new = ~_met_before(table["earlier"], row + k, col)
+            row, col = row[new], col[new]
         left.append(node[mine][row])
         right.append(node[col])
         far.append(gap[row, col])
+        whose.append(node[mine][row])
     a, b = np.concatenate(left), np.concatenate(right)
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "gap": np.concatenate(far).astype(np.int64)})
+    return pa.table({"gid": np.full(len(a), table["gid"][0].as_py()), "node": np.concatenate(whose), "a": np.maximum(a, b),
+                     "b": np.minimum(a, b), "gap": np.concatenate(far).astype(np.int64)})
 
 
 def _nearest(table: pa.Table) -> pa.Table:
@@ -376,26 +406,36 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             .join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
         return cut(sides.mapInArrow(_overlap, "a long, b long, good boolean"))
 
-    members = cut(groups.select("gid", "node").union(groups.select("gid", F.col("pivot").alias("node"))).distinct()
-                  .join(known.select("node", "n", "profile"), "node"))
-    pair = "a long, b long, gap long"
+    # Profiles join the members only on their way to the pairs; no written table holds one more than once.
+    members = cut(groups.select("gid", "node").union(groups.select("gid", F.col("pivot").alias("node"))).distinct())
+    shapes = known.select("node", "n", "profile")
+    pair = "gid long, node long, a long, b long, gap long"
 
-    def spread(links: DataFrame | None, fn) -> DataFrame:
-        """Pairs by ``fn`` from the groups that lie in more than one component."""
-        if links is None:
-            return members.withColumn("component", F.col("node")).groupBy("gid").applyInArrow(fn, pair)
-        parts = labelled(members, links, "node", "component")
+    def parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The members of groups that lie in more than one component."""
+        parts = labelled(rows.select("gid", "node"), links, "node", "component")
         mixed = parts.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid")
-        return parts.join(mixed, "gid").groupBy("gid").applyInArrow(fn, pair)
+        return cut(parts.join(mixed, "gid"))
+
+    def nearest_pairs(parts: DataFrame) -> DataFrame:
+        """One row per member that may have links in its group; both ends of every such pair are among them."""
+        return cut(parts.join(shapes, "node").groupBy("gid").applyInArrow(_nearest, pair))
+
+    def open_pairs(parts: DataFrame) -> DataFrame:
+        own = parts.groupBy("node").agg(F.collect_list("gid").alias("gids")).join(shapes, "node")
+        named = parts.join(own, "node").withColumn("earlier", F.filter("gids", lambda g: g < F.col("gid"))).drop("gids")
+        return named.groupBy("gid").applyInArrow(_all_pairs, pair)
 
     # First the nearest partner of each node, then the nearest one of each group, then all pairs that are still open.
-    near = cut(spread(None, _nearest).groupBy("a", "b").agg(F.min("gap").alias("gap")))
-    ends = near.select(F.col("a").alias("node"), "a", "b", "gap").union(near.select("b", "a", "b", "gap"))
-    first = cut(ends.groupBy("node").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    # A later step only takes the members for which the step before it saw a possible link.
+    seen = nearest_pairs(members.withColumn("component", F.col("node")))
+    first = cut(seen.groupBy("node").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     tried = verify(first, bodies(first))
-    for fn in (_nearest, _all_pairs):
-        links = components(tried.where("good"))
-        more = cut(spread(links, fn).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    for last in (False, True):
+        parts = parted(seen, components(tried.where("good")))
+        seen = open_pairs(parts) if last else nearest_pairs(parts)
+        found = seen.select("a", "b") if last else seen.select("a", "b").distinct()
+        more = cut(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         tried = cut(tried.unionByName(verify(more, bodies(more))))
     links = components(tried.where("good"))
 

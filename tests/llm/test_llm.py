@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -149,6 +150,16 @@ def plain_spans(text):
     return sorted(found)
 
 
+def test_pairs_are_made_in_their_first_group():
+    rng = np.random.default_rng(9)
+    lists = [sorted(set(rng.integers(-30, 30, rng.integers(0, 9)).tolist())) for _ in range(40)]
+    left, right = np.divmod(np.arange(1600), 40)
+    met = jaccard._met_before(pa.chunked_array([pa.array(lists, pa.list_(pa.int64()))]), left, right)
+    assert met.tolist() == [bool(set(lists[a]) & set(lists[b])) if a != b else met[a * 41] for a, b in zip(left, right)]
+    nothing = jaccard._met_before(pa.chunked_array([pa.array([[], []], pa.list_(pa.int64()))]), np.array([0]), np.array([1]))
+    assert nothing.tolist() == [False]
+
+
 def test_pii(docs, empty):
     rng = random.Random(2)
     for text in [*some_texts(), *("".join(rng.choice("ab@.+-1 2(3)4") for _ in range(60)) for _ in range(3000))]:
