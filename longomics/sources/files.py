@@ -1,12 +1,17 @@
 """File readers. Every reader takes a path or glob and returns a long DataFrame.
 
-Multi-file readers keep each row's file through ``_metadata.file_path``; column names are resolved
-by alias on the schema at plan time, values are cast with ``try_cast``.
+Multi-file readers keep each row's file through ``_metadata.file_path``. Where tools differ in their columns, the names
+are resolved in every file's own header (``picked``); values are cast with ``try_cast``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import re
+from collections import defaultdict
+from collections.abc import Callable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,12 +37,57 @@ def table(spark: SparkSession, path: str | list[str], sep: str = ",", comment: s
     return reader.csv(path).withColumn("_file", F.col("_metadata.file_path"))
 
 
+def file_headers(spark: SparkSession, path: str | list[str], comment: str | None = None) -> DataFrame:
+    """(file, header): the first line of every file that is neither blank nor a comment."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("n"), "value")
+    first = lines.where((F.col("block") == 0) & (F.trim("value") != ""))
+    if comment:
+        first = first.where(~F.col("value").startswith(comment))
+    return first.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+
+
+def picked(spark: SparkSession, path: str | list[str], pick: Callable[[list[str]], dict[str, int | None]], sep: str = "\t",
+           comment: str | None = None, missing: bool = False) -> DataFrame:
+    """The columns that ``pick`` names by position from the header of each file, as strings, plus ``_file`` and ``_line``.
+
+    Files whose columns stand at the same places are read together, so the number of scans follows the layouts and not
+    the files. A column without a place (None) is null, with ``missing`` also one that ``pick`` names in other files only;
+    files without a header line hold no rows. Only the file names and headers reach the driver, which lists the files in
+    any case.
+    """
+    layouts = defaultdict(list)
+    for row in file_headers(spark, path, comment).collect():
+        names = next(csv.reader([row["header"]], delimiter=sep))
+        places = pick(names)
+        layouts[len(names), tuple(places.items())].append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["file"])))
+    if not layouts:
+        raise ValueError(f"no file with a header line at {path}")
+    parts = []
+    for (_, places), names in sorted(layouts.items(), key=repr):
+        df = table(spark, sorted(names), sep, comment)
+        kept = data_columns(df)
+        parts.append(df.select(*[(F.lit(None).cast("string") if at is None else col(kept[at])).alias(name) for name, at in places],
+                               "_file", line_order().alias("_line")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=missing), parts)
+
+
+def place(columns: Sequence[str], name: str | None, default: int | None = 0) -> int | None:
+    return columns.index(name) if name is not None else default
+
+
+def line_order() -> Column:
+    """Sortable place of a row: file, split, then the order inside the split; project it straight from the read."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("n"))
+
+
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != "_file"]
+    return [c for c in df.columns if c not in ("_file", "_line")]
 
 
 def first_match(columns: Sequence[str], names: Sequence[str]) -> str | None:
@@ -100,32 +150,37 @@ def feature_counts(spark: SparkSession, glob: str) -> DataFrame:
 
 def star_counts(spark: SparkSession, glob: str, quant_column: str = "unstranded") -> DataFrame:
     """Quantity column by exact name, substring, fallback list, else second; Ensembl genes only, unversioned."""
-    df = table(spark, glob, "\t", "#")
-    cols = data_columns(df)
-    gene = containing(cols, "gene_id") or cols[0]
-    chosen = (quant_column if quant_column in cols else None) or containing(cols, quant_column.lower()) \
-        or first_match(cols, STAR_FALLBACK) or cols[1]
-    gid = F.element_at(F.split(col(gene), r"\."), 1)
-    return df.select(parent_folder(F.col("_file")).alias("sample_id"), gid.alias("gene_id"),
-                     double(chosen).alias("count")).where(F.col("gene_id").startswith("ENSG"))
+    def pick(cols: list[str]) -> dict[str, int | None]:
+        chosen = (quant_column if quant_column in cols else None) or containing(cols, quant_column.lower()) or first_match(cols, STAR_FALLBACK)
+        return {"gene_id": place(cols, containing(cols, "gene_id")), "count": place(cols, chosen, 1)}
 
+    gid = F.element_at(F.split("gene_id", r"\."), 1)
+    return picked(spark, glob, pick, "\t", "#").select(
+        parent_folder(F.col("_file")).alias("sample_id"), gid.alias("gene_id"), double("count").alias("count")
+    ).where(F.col("gene_id").startswith("ENSG"))
 
-def tx2gene_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    df = table(spark, path, sep)
-    cols = data_columns(df)
-    tx, gene = first_match(cols, TX_NAMES), first_match(cols, GENE_NAMES)
-    if tx is None or gene is None:
-        tx, gene = cols[0], cols[1]
-    return df.select(col(tx).alias("tx_id"), col(gene).alias("gene_id")).dropDuplicates(["tx_id"])
 
+def tx2gene_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(tx_id, gene_id) from tables with or without known names (any case, else the first two columns).
 
-def tx2gene_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript and exon lines of GTF or GFF; both attribute syntaxes; a transcript's last line wins.
-
-    'Last' follows (file, byte order): rows get an increasing id inside the ordered text scan.
+    ``sep`` None: tab where a header holds one, else comma. The last row of a transcript wins, by file and line.
     """
-    lines = (spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
-             .where(~F.col("value").startswith("#")))
+    if sep is None:
+        tabs = file_headers(spark, path).agg(F.count_if(F.col("header").contains("\t")).alias("n")).first()["n"]
+        sep = "\t" if tabs else ","
+
+    def pick(cols: list[str]) -> dict[str, int | None]:
+        low = [c.lower().strip() for c in cols]
+        tx, gene = first_match(low, TX_NAMES), first_match(low, GENE_NAMES)
+        known = tx is not None and gene is not None
+        return {"tx_id": place(low, tx) if known else 0, "gene_id": place(low, gene) if known else 1}
+
+    return picked(spark, path, pick, sep).groupBy("tx_id").agg(F.max_by("gene_id", "_line").alias("gene_id"))
+
+
+def tx2gene_gtf(spark: SparkSession, path: str) -> DataFrame:
+    """Transcript and exon lines of GTF or GFF; both attribute syntaxes; a transcript's last line wins, by file and line."""
+    lines = spark.read.text(path).withColumn("_n", line_order()).where(~F.col("value").startswith("#"))
     f = F.split(F.trim("value"), "\t")
     rows = lines.select("_n", f.alias("f")).where((F.size("f") >= 9) & F.get("f", F.lit(2)).isin("transcript", "exon"))
     attr = F.get("f", F.lit(8))
@@ -141,13 +196,13 @@ def tx2gene_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 def keyed_values(spark: SparkSession, glob: str, key_parts: Sequence[str], value_parts: Sequence[str],
                  fallback: int = 1, sample: Column | None = None) -> DataFrame:
-    """(sample_id, feature, value) with columns found by name parts, else by position."""
-    df = table(spark, glob, "\t", None)
-    cols = data_columns(df)
-    key = containing(cols, *key_parts) or cols[0]
-    value = containing(cols, *value_parts) or cols[fallback]
-    return df.select((parent_folder(F.col("_file")) if sample is None else sample).alias("sample_id"),
-                     col(key).alias("feature"), double(value).alias("value"))
+    """(sample_id, feature, value) with columns found by name parts in each file, else by position."""
+    def pick(cols: list[str]) -> dict[str, int | None]:
+        return {"feature": place(cols, containing(cols, *key_parts)),
+                "value": place(cols, containing(cols, *value_parts), fallback % len(cols))}
+
+    return picked(spark, glob, pick).select((parent_folder(F.col("_file")) if sample is None else sample).alias("sample_id"),
+                                            "feature", double("value").alias("value"))
 
 
 def mirna(spark: SparkSession, glob: str) -> DataFrame:
@@ -164,40 +219,54 @@ def methylation(spark: SparkSession, glob: str) -> DataFrame:
     return keyed_values(spark, glob, ["composite", "probe"], ["beta"])
 
 
+def by_name(spark: SparkSession, glob: str, comment: str | None = None) -> DataFrame:
+    """All columns of all files under their own names; a column that a file lacks is null there."""
+    headers = file_headers(spark, glob, comment).select("header").distinct().collect()
+    names = list(dict.fromkeys(c for r in sorted(headers) for c in next(csv.reader([r["header"]], delimiter="\t"))))
+    return picked(spark, glob, lambda cols: {c: cols.index(c) if c in cols else None for c in names}, "\t", comment)
+
+
 def segments(spark: SparkSession, glob: str) -> DataFrame:
-    df = table(spark, glob, "\t")
+    df = by_name(spark, glob)
     return df.select(parent_folder(F.col("_file")).alias("sample_id"), *[col(c) for c in data_columns(df)])
 
 
 def mutations(spark: SparkSession, glob: str) -> DataFrame:
-    df = table(spark, glob, "\t", "#")
-    return df.drop("_file")
+    return by_name(spark, glob, "#").drop("_file", "_line")
 
 
 def proteins(spark: SparkSession, glob: str) -> DataFrame:
-    """Protein and value columns by name; without a value name, the last mostly numeric column.
+    """Protein and value columns by name in each file; without a value name, a file's last mostly numeric column.
 
-    The numeric shares of all columns come from one aggregate over the files.
+    The numeric shares of such files come from one aggregate by file.
     """
-    df = table(spark, glob, "\t")
-    cols = data_columns(df)
-    protein = [c for c in cols if "peptide_target" in c.lower() or ("protein" in c.lower() and "expression" not in c.lower())]
-    values = [c for c in cols if c not in protein and "expression" in c.lower()]
-    key = protein[-1] if protein else cols[0]
-    value = values[-1] if values else None
-    if value is None:
-        share = df.agg(*[F.avg(double(c).isNotNull().cast("int")).alias(str(i)) for i, c in enumerate(cols)]).first()
-        value = next((c for i, c in reversed(list(enumerate(cols))) if (share[i] or 0) > 0.5), cols[-1])
-    return df.select(parent_folder(F.col("_file")).alias("sample_id"), col(key).alias("feature"), double(value).alias("value"))
+    def pick(cols: list[str]) -> dict[str, int | None]:
+        protein = [i for i, c in enumerate(cols) if "peptide_target" in c.lower() or ("protein" in c.lower() and "expression" not in c.lower())]
+        values = [i for i, c in enumerate(cols) if i not in protein and "expression" in c.lower()]
+        # Files without a value name carry all their columns, those with one carry it as the only one.
+        shown = [values[-1]] if values else list(range(len(cols)))
+        return {"feature": protein[-1] if protein else 0} | {f"v{k}": at for k, at in enumerate(shown)}
+
+    df = picked(spark, glob, pick, missing=True)
+    cols = [c for c in df.columns if c.startswith("v")]
+    share = df.groupBy("_file").agg(F.array(*[F.avg(double(c).isNotNull().cast("int")) for c in cols]).alias("share"),
+                                    F.array(*[F.count(c) for c in cols]).alias("filled"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(cols) - 1)), lambda i: F.get("share", i) > 0.5)
+    used = F.filter(F.sequence(F.lit(0), F.lit(len(cols) - 1)), lambda i: F.get("filled", i) > 0)
+    chosen = share.select("_file", F.coalesce(F.array_max(places), F.array_max(used), F.lit(0)).alias("at"))
+    return df.join(chosen, "_file").select(parent_folder(F.col("_file")).alias("sample_id"), "feature",
+                                           F.get(F.array(*[col(c) for c in cols]), F.col("at")).try_cast("double").alias("value"))
 
 
 def gsm_tables(spark: SparkSession, glob: str) -> DataFrame:
-    df = table(spark, glob, "\t")
-    cols = data_columns(df)
-    key, value = first_match(cols, GSM_IDS) or cols[0], first_match(cols, GSM_VALUES)
-    if value is None:
-        raise ValueError(f"no value column among {cols}")
-    return df.select(file_stem(F.col("_file")).alias("sample_id"), col(key).alias("gene_id"), double(value).alias("count"))
+    """One table per sample, named by its file; a file without a value column is an error."""
+    def pick(cols: list[str]) -> dict[str, int | None]:
+        value = first_match(cols, GSM_VALUES)
+        if value is None:
+            raise ValueError(f"no value column among {cols}")
+        return {"gene_id": place(cols, first_match(cols, GSM_IDS)), "count": place(cols, value)}
+
+    return picked(spark, glob, pick).select(file_stem(F.col("_file")).alias("sample_id"), "gene_id", double("count").alias("count"))
 
 
 def file_score(name: str) -> int | None:
@@ -240,13 +309,16 @@ def supplementary_matrix(spark: SparkSession, path: str, min_rows: int = 100, mi
 
 
 def with_sdrf(cells: DataFrame, spark: SparkSession, sdrf: str) -> DataFrame:
-    """Attach an SDRF sample table (key: Source Name, else first column) to long cells."""
-    df = table(spark, sdrf, "\t")
+    """Attach an SDRF sample table (key: Source Name, else first column) to long cells; the first row of a sample counts."""
+    df = table(spark, sdrf, "\t").withColumn("_line", line_order())
     cols = data_columns(df)
     key = first_match(cols, ["Source Name"]) or cols[0]
     named = df.select(col(key).alias("sample_id"), *[
-        col(c).alias(c.lower().replace("characteristics[", "").rstrip("]").strip().replace(" ", "_")) for c in cols if c != key])
-    return cells.join(named.dropDuplicates(["sample_id"]), "sample_id", "left")
+        col(c).alias(c.lower().replace("characteristics[", "").rstrip("]").strip().replace(" ", "_")) for c in cols if c != key], "_line")
+    facts = [c for c in named.columns if c not in ("sample_id", "_line")]
+    first = named.groupBy("sample_id").agg(F.min_by(F.struct(*facts), "_line").alias("_first")).select("sample_id", "_first.*") \
+        if facts else named.select("sample_id").distinct()
+    return cells.join(first, "sample_id", "left")
 
 
 CASE_SCHEMA = ("submitter_id string, project_id string, "
