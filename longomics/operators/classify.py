@@ -41,14 +41,15 @@ def stratified_folds(samples: DataFrame, k: int, repeats: int = 1, seed: int = 4
     return dealt.select("repeat", SAMPLE, "y", ((F.col("_n") + F.col("y")) % k).cast("int").alias("fold"))
 
 
-def estimator(name: str, seed: int = 42, trees: int = 100):
+def estimator(name: str, seed: int = 42, trees: int = 100, n: int = 100):
+    """Classifier by name; the linear ones weigh the sum of losses over ``n`` samples like half the squared norm (C = 1)."""
     options = dict(featuresCol="scaled", labelCol="y")
     if name == "logistic_regression":
-        return LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=100, standardization=False, **options)
+        return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, maxIter=100, standardization=False, **options)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed, **options)
     if name == "svm":
-        return LinearSVC(regParam=0.01, maxIter=50, standardization=False, **options)
+        return LinearSVC(regParam=1.0 / n, maxIter=50, standardization=False, **options)
     if name == "gradient_boosting":
         return GBTClassifier(maxIter=20, maxDepth=5, seed=seed, **options)
     raise ValueError(f"unknown classifier {name!r}")
@@ -57,7 +58,7 @@ def estimator(name: str, seed: int = 42, trees: int = 100):
 def fit(train: DataFrame, name: str, seed: int = 42, trees: int = 100):
     """Scaler + classifier; the linear SVM gets a logistic curve over its margin for probabilities."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    model = Pipeline(stages=[scaler, estimator(name, seed, trees)]).fit(train)
+    model = Pipeline(stages=[scaler, estimator(name, seed, trees, max(train.count(), 1))]).fit(train)
     if name != "svm":
         return model, None
     margins = model.transform(train).select("y", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("margin"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -64,7 +65,7 @@ def _standardised(vectors: DataFrame) -> DataFrame:
     return scaler.fit(vectors).transform(vectors)
 
 
-def lasso(values: DataFrame, alpha: float = 1.0, l1_ratio: float = 1.0, method: str = "lasso") -> DataFrame:
+def lasso(values: DataFrame, alpha: float = 0.5, l1_ratio: float = 1.0, method: str = "lasso") -> DataFrame:
     """Absolute elastic-net logistic coefficients on standardised genes."""
     vectors, names = _vectors(values)
     n = vectors.count()
@@ -276,7 +277,7 @@ def coexpression_hubs(values: DataFrame, power: int = 6, cutoff: float = 0.2, mi
 SELECTORS: dict[str, Callable[..., DataFrame]] = {
     "univariate_filter": lambda v, n, de, seed: univariate_filter(v, n),
     "de_filter": lambda v, n, de, seed: de_filter(v, de),
-    "elastic_net": lambda v, n, de, seed: lasso(v, 1.0, 0.5, "elastic_net"),
+    "elastic_net": lambda v, n, de, seed: lasso(v, l1_ratio=0.5, method="elastic_net"),
     "lasso": lambda v, n, de, seed: lasso(v),
     "boruta": lambda v, n, de, seed: boruta(v, seed=seed),
     "mrmr": lambda v, n, de, seed: mrmr(v, n),
@@ -288,7 +289,7 @@ SELECTORS: dict[str, Callable[..., DataFrame]] = {
 
 def resolve_methods(methods: Sequence[str] | None, has_de: bool) -> list[str]:
     """Fold-safe method list: de_filter without a gene list becomes the univariate filter."""
-    chosen = list(methods or ["univariate_filter", "elastic_net"])
+    chosen = list(methods or ["univariate_filter", "elastic_net", "rfe"])
     unknown = set(chosen) - set(SELECTORS)
     if unknown:
         raise ValueError(f"unknown selectors {sorted(unknown)}")
@@ -300,12 +301,15 @@ def resolve_methods(methods: Sequence[str] | None, has_de: bool) -> list[str]:
 
 def run_selectors(values: DataFrame, methods: Sequence[str], n: int = 50, de_genes: DataFrame | None = None,
                   seed: int = 42) -> tuple[DataFrame, list[str]]:
-    """Scores of all methods that run; a failing method is skipped, all failing is an error."""
+    """Scores of all methods that run; one that is undefined for the cohort is skipped, none left is an error.
+
+    Failures of the jobs themselves, memory and lost files among them, are raised.
+    """
     out, done, last = None, [], None
     for name in methods:
         try:
             part = cut(SELECTORS[name](values, n, de_genes, seed))
-        except Exception as error:  # noqa: BLE001 - a selector may be undefined for the cohort
+        except (ValueError, IllegalArgumentException, np.linalg.LinAlgError) as error:
             last = error
             continue
         out = part if out is None else out.unionByName(part)
@@ -323,8 +327,8 @@ def rank_genes(values: DataFrame, methods: Sequence[str], n: int = 50, de_genes:
 # ---- panels -----------------------------------------------------------------------------------------------
 
 def panel_sizes(min_panel: int, max_panel: int, step: int) -> list[int]:
-    sizes = list(range(min_panel, max_panel + 1, step))
-    return sizes + [max_panel] if sizes and sizes[-1] != max_panel else sizes
+    """Every ``step``-th size up to the largest, which always counts; none when the limits cross."""
+    return sorted({*range(min_panel, max_panel, step), max_panel}) if min_panel <= max_panel else []
 
 
 def panel_prefixes(ranking: DataFrame, sizes: Sequence[int]) -> DataFrame:

@@ -166,7 +166,7 @@ def _linear(vectors: DataFrame, beta: np.ndarray) -> DataFrame:
     return vectors.select(SAMPLE, "time", "event", F.round(eta, 9).alias("score"))
 
 
-def cox_lasso_panel(cells: DataFrame, genes: Sequence, alpha: float = 0.01, l1_ratio: float = 1.0) -> dict[str, DataFrame]:
+def cox_lasso_panel(cells: DataFrame, genes: Sequence, alpha: float = 0.1, l1_ratio: float = 1.0) -> dict[str, DataFrame]:
     vectors = cut(_survival_vectors(cells, genes))
     beta = survival.cox_fit(vectors, len(genes), alpha, l1_ratio)
     kind = cells.schema[GENE].dataType.simpleString()
@@ -174,7 +174,7 @@ def cox_lasso_panel(cells: DataFrame, genes: Sequence, alpha: float = 0.01, l1_r
     return {"panel": coefs.where(F.abs("coef") > 1e-8), "c_index": survival.concordance_index(_linear(vectors, beta))}
 
 
-def survival_flow(cells: DataFrame, alpha: float = 0.01, fdr: float = 0.05) -> dict[str, DataFrame]:
+def survival_flow(cells: DataFrame, alpha: float = 0.1, fdr: float = 0.05) -> dict[str, DataFrame]:
     """Univariate screen, then a lasso panel over the significant genes (three or more needed)."""
     screen = cut(survival.cox_screen(cells.select(GENE, SAMPLE, "time", "event", "value"), fdr))
     genes = [r[GENE] for r in screen.where("significant").orderBy("p_value", GENE).select(GENE).toLocalIterator()]

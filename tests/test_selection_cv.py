@@ -33,6 +33,23 @@ def test_selectors_rank_signal_first(spark):
     assert selection.resolve_methods(["de_filter"], False) == ["univariate_filter"]
     with pytest.raises(ValueError):
         selection.resolve_methods(["magic"], False)
+    assert selection.panel_sizes(2, 9, 3) == [2, 5, 8, 9] and selection.panel_sizes(2, 8, 3) == [2, 5, 8] and selection.panel_sizes(5, 4, 1) == []
+
+
+def test_only_undefined_selectors_are_skipped(spark, monkeypatch):
+    v = cohort(spark, 20, 3, 1, 5)
+
+    def undefined(*_):
+        raise ValueError("one class")
+
+    def broken(*_):
+        raise MemoryError
+
+    monkeypatch.setitem(selection.SELECTORS, "lasso", undefined)
+    assert selection.run_selectors(v, ["lasso", "univariate_filter"], 2)[1] == ["univariate_filter"]
+    monkeypatch.setitem(selection.SELECTORS, "lasso", broken)
+    with pytest.raises(MemoryError):
+        selection.run_selectors(v, ["lasso", "univariate_filter"], 2)
 
 
 def test_folds_are_stratified_and_seeded(spark):
