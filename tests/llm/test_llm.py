@@ -274,6 +274,47 @@ def test_near_vectors(spark):
     assert rows_of(neardup.near_duplicates(df.limit(0))) == []
 
 
+def test_missed_rare_links_widen_the_beam():
+    """A graph cut in two: a beam never reaches the single partners, which an audit must see beside a large group."""
+    rng = np.random.default_rng(5)
+    group = np.eye(32)[0] + rng.normal(size=(600, 32)) * 0.01
+    vectors = neardup._unit(np.concatenate([group, rng.normal(size=(60, 32))]))
+    links = np.full((660, 16), -1, dtype=np.int32)
+    links[:600] = (np.arange(600)[:, None] + np.arange(1, 17)) % 600
+    graph = neardup.Graph(vectors.astype(np.float32), [(np.arange(660), links)])
+    queries = np.concatenate([vectors[:400], vectors[600:]])
+    ids, node = np.arange(460) + 1000, np.arange(660)
+    true, least = neardup.audit(graph, node, vectors, ids, queries, 0.95)
+    assert (true[:400] >= 600).all() and (true[400:] == 1).all() and (least[400:] == neardup.EXACT).all()
+    counts = Counter((0, bool(few), int(x)) for few, x in zip(true <= neardup.FEW, least))
+    assert neardup.settle_beams(counts, 0.99) == ({-1: neardup.EXACT}, False)
+    assert len(neardup.find_links(graph, vectors, queries, 0.95, neardup.EXACT)[0]) == int((queries @ vectors.T >= 0.95).sum())
+
+
+def test_near_vectors_of_drawn_audits(spark, monkeypatch):
+    """Pairs and one large group, with draws smaller than the table."""
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=(400, 24))
+    x = np.concatenate([one, one + rng.normal(size=one.shape) * 0.02, one[0] + rng.normal(size=(200, 24)) * 0.02])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {k: int(n) - 1 for k, n in enumerate((x @ x.T >= 0.95).sum(axis=1))}
+    monkeypatch.setattr(neardup, "AUDIT", 200)
+    for recall in (0.9, 1):
+        got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df, recall=recall).collect()}
+        assert got.keys() == want.keys() and np.mean([got[k] == n for k, n in want.items()]) >= recall
+
+
+def test_beams_need_proof():
+    exact, settle = neardup.EXACT, neardup.settle_beams
+    assert settle({(0, True, 16): 460}, 0.99) == ({-1: 16, 0: 16}, False)
+    assert settle({(0, True, 16): 100}, 0.99) == ({-1: exact}, True)  # too few to be sure: draw more
+    assert settle({(0, False, 16): 4000, (0, True, exact): 8}, 0.99) == ({-1: exact}, False)  # single pairs are not outweighed
+    assert settle({(0, True, 16): 3000, (0, True, 32): 100}, 0.99)[0] == {-1: 32, 0: 32}
+    beams = settle({**{(k, True, 16): 1000 for k in range(7)}, (7, True, 16): 100, (7, True, 64): 10}, 0.99)[0]
+    assert beams[0] == 16 and beams[7] == 64
+
+
 @pytest.mark.parametrize("name", ["op2_source_mix", "op5_url_filter"])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
