@@ -223,6 +223,22 @@ def test_substrings(docs, empty):
     assert rows_of(substrings.deduplicate(empty)) == []
 
 
+def test_one_entry_for_each_content():
+    """A passage of all texts and a run of one byte: a task sends each content on once and the rest as runs of bytes."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcd ") for _ in range(400))
+    texts = ["".join(rng.choice("efgh ") for _ in range(rng.randint(0, 300))) + passage for _ in range(200)] + ["z" * 5000, passage]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202), pa.int64()), pa.array(range(202), pa.int64()), pa.array(texts)], names=["doc", "tag", "t"])
+    sent = [r for out in substrings._entries(16)(iter([batch])) for r in out.to_pylist()]
+    every = np.concatenate([np.frombuffer(r["body"], substrings.STRETCH) for r in sent if r["bucket"] >= 0])
+    assert len(every) == len({(int(g), int(c)) for g, c in zip(every["gram"], every["content"])})
+    runs = np.concatenate([np.frombuffer(r["body"], substrings.RUN) for r in sent if r["bucket"] < 0])
+    assert len(runs) <= 2 * len(texts) and {*runs["doc"]} >= {*range(1, 202)}
+    settled = substrings._settle(pa.table({"bucket": pa.array([-1], pa.int32()), "body": pa.array([runs.tobytes()], pa.binary())}))
+    spans = {(d, a, b) for d, a, b in zip(*(settled[c].to_pylist() for c in ("doc", "at", "stop")))}
+    assert (200, 1, 5000) in spans and (201, 0, 400) in spans and settled["gram"].null_count == len(runs)
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(6)
     items = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n)) + ". The answer is " + str(k) * 6 + " of course." for k, n in enumerate([12, 30, 50, 25, 40])]
