@@ -25,6 +25,7 @@ _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_LEAST = 15
 _DIGIT = re.compile(r"[0-9]")
 
 # Words that make a kind more or less likely when they stand within CONTEXT characters before a span.
@@ -104,10 +105,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str) -> list[tuple[int, int, int]]:
-    """Account numbers whose mod-97 checksum holds."""
+    """Account numbers whose mod-97 checksum holds: from each start the longest one that ends with a token."""
+    found: list[tuple[int, int, int]] = []
     if not _DIGIT.search(text):
-        return []
-    return [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+        return found
+    m = _IBAN.search(text)
+    while m:
+        run, at = m.group(), m.start() + 1
+        ends = [len(run), *(k for k in range(len(run) - 1, 0, -1) if run[k] == " ")]
+        for end in ends:
+            number = run[:end].replace(" ", "")
+            if len(number) < _IBAN_LEAST:
+                break
+            if mod97(number):
+                found.append((m.start(), 4, m.start() + end))
+                at = m.start() + end
+                break
+        m = _IBAN.search(text, at)
+    return found
 
 
 def score(text: str, start: int, kind: int) -> float:

@@ -173,6 +173,15 @@ def test_pii(docs, empty):
     assert rows_of(pii.find_pii(empty)) == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("GB82 WEST 1234 5698 7654 32 A transfer", [(0, 27)]), ("DE89370400440532013000 BIC COBADEFF", [(0, 22)]), ("DE89370400440532013000 2024", [(0, 22)]),
+    ("to NO93 8601 1117 947 OR DE89370400440532013000 IN 2024", [(3, 21), (25, 47)]), ("AB12 CDEF GHIJ KLM DE89370400440532013000 X", [(19, 41)]),
+    ("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 EUR 100", [(0, 22), (23, 50)]), ("DE89370400440532013001 BIC 2024", []), ("DE89370400440532013000x", []), ("xDE89370400440532013000 A", [])])
+def test_account_numbers_before_capitals_and_digits(text, want):
+    assert pii.added_spans(text) == [(a, 4, b) for a, b in want]
+    assert all(text[a:b] not in pii.redact(text, pii.added_spans(text)) for a, b in want)
+
+
 def test_url_filter_edges(spark):
     day = lambda s: F.to_date(F.lit(s))
     events = spark.createDataFrame([("l", "h:bad.org", "2024-01-10", "add"), ("l", "h:bad.org", "2024-02-01", "remove"), ("l", "h:bad.org", "2024-02-01", "remove"),
