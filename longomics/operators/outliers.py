@@ -211,30 +211,34 @@ def library_size_outliers(counts: DataFrame) -> DataFrame:
 def mean_correlation(values: DataFrame, structure: dict[str, DataFrame] | None = None) -> DataFrame:
     """Mean correlation of each sample's standardised profile with all other samples'.
 
-    Row i's correlations come from Gram entries and sample sums over genes, so the pairs of samples
-    exist only as array elements of n rows, never as rows of their own.
+    With u the centred profile of a sample at unit length, its correlations sum to u . U, where U is the sum of all u
+    by gene. So sums by gene and by sample suffice at every number of samples, and absent cells enter in closed form.
     """
-    if structure is None:
-        index = cut(sample_index(values))
-        structure = {"index": index, "gram": gram(values, index)}
-    index, g = structure["index"], structure["gram"]
-    stats = gene_moments(values, "value").select(
-        DS, GENE, "mean", F.when(F.col("var_pop") > 1e-30, F.sqrt("var_pop")).otherwise(1.0).alias("scale"))
-    base = stats.groupBy(DS).agg(F.sum(-F.col("mean") / F.col("scale")).alias("zero_sum"),
+    index = structure["index"] if structure else cut(sample_index(values))
+    stats = cut(gene_moments(values, "value").select(
+        DS, GENE, "mean", F.when(F.col("var_pop") > 1e-30, F.sqrt("var_pop")).otherwise(1.0).alias("scale")))
+    zero = -F.col("mean") / F.col("scale")
+    base = stats.groupBy(DS).agg(F.sum(zero).alias("zero_sum"), F.sum(zero * zero).alias("zero_squares"),
                                  F.count(F.lit(1)).alias("n_genes"))
-    own = (values.join(stats, [DS, GENE]).join(index, [DS, SAMPLE])
-           .groupBy(DS, "i").agg(F.sum(F.col("value") / F.col("scale")).alias("s")))
-    sums = (index.join(own, [DS, "i"], "left").join(base, DS)
-            .select(DS, SAMPLE, "i", "n_genes", (F.coalesce("s", F.lit(0.0)) + F.col("zero_sum")).alias("s")))
-    diag = g.select(DS, "i", F.element_at("row", F.col("i") + 1).alias("gii"))
-    per = sums.join(diag, [DS, "i"]).withColumn(
-        "css", F.col("gii") - F.col("s") * F.col("s") / F.col("n_genes"))
-    vectors = per.groupBy(DS).agg(F.sort_array(F.collect_list(F.struct("i", "s", "css"))).alias("all"))
-    pairs = g.join(per.select(DS, SAMPLE, "i", "s", "css", "n_genes"), [DS, "i"]).join(vectors, DS)
-    cors = F.zip_with("row", "all", lambda r, o: (r - F.col("s") * o["s"] / F.col("n_genes"))
-                      / F.sqrt(F.col("css") * o["css"]))
-    total = F.aggregate(cors, F.lit(0.0), lambda a, x: a + x)
-    return pairs.select(DS, SAMPLE, ((total - 1.0) / (F.size("row") - 1)).alias("mean_correlation"))
+    z = (F.col("value") - F.col("mean")) / F.col("scale")
+    cells = values.join(stats, [DS, GENE]).select(DS, GENE, SAMPLE, zero.alias("zero"), z.alias("z"))
+    own = cells.groupBy(DS, SAMPLE).agg(F.sum(F.col("z") - F.col("zero")).alias("s"),
+                                        F.sum(F.col("z") * F.col("z") - F.col("zero") * F.col("zero")).alias("q"))
+    total, squares = F.coalesce("s", F.lit(0.0)) + F.col("zero_sum"), F.coalesce("q", F.lit(0.0)) + F.col("zero_squares")
+    per = cut(index.join(own, [DS, SAMPLE], "left").join(base, DS)
+              .select(DS, SAMPLE, (total / F.col("n_genes")).alias("m"),
+                      F.sqrt(squares - total * total / F.col("n_genes")).alias("c")))
+    all_samples = per.groupBy(DS).agg(F.sum(1 / F.col("c")).alias("inverse"), F.sum(F.col("m") / F.col("c")).alias("shift"),
+                                      F.count(F.lit(1)).alias("n"))
+    present = cells.join(per, [DS, SAMPLE]).groupBy(DS, GENE).agg(F.sum((F.col("z") - F.col("zero")) / F.col("c")).alias("p"))
+    genes = cut(stats.join(present, [DS, GENE], "left").join(all_samples.select(DS, "inverse", "shift"), DS)
+                .select(DS, GENE, zero.alias("zero"), (F.coalesce("p", F.lit(0.0)) + zero * F.col("inverse") - F.col("shift")).alias("u")))
+    whole = genes.groupBy(DS).agg(F.sum(F.col("u") * F.col("zero")).alias("zero_u"), F.sum("u").alias("sum_u"))
+    met = cells.join(genes.select(DS, GENE, "u"), [DS, GENE]).groupBy(DS, SAMPLE) \
+        .agg(F.sum((F.col("z") - F.col("zero")) * F.col("u")).alias("t"))
+    dot = (F.coalesce("t", F.lit(0.0)) + F.col("zero_u") - F.col("m") * F.col("sum_u")) / F.col("c")
+    return (per.join(met, [DS, SAMPLE], "left").join(whole, DS).join(all_samples.select(DS, "n"), DS)
+            .select(DS, SAMPLE, ((dot - 1.0) / (F.col("n") - 1)).alias("mean_correlation")))
 
 
 def correlation_outliers(values: DataFrame, structure: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """No caps on numbers of methods, and no machine-local folder off a local master."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from longomics import runtime
 from longomics.functions.tails import chi2_even_upper
-from longomics.operators import ensemble
+from longomics.operators import ensemble, outliers
 
 
 def test_fisher_over_eighty_methods(spark):
@@ -33,3 +34,22 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(ValueError, match="share"):
         runtime.shared_dir(Session())
+
+
+def test_correlation_vote_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.gamma(2.0, 2.0, size=60)
+    x = np.stack([base + rng.normal(size=60) * 0.4 for _ in range(30)])
+    x[7] = rng.permutation(x[7])
+    x[rng.random(x.shape) < 0.2] = 0
+    x[:, 5] = 0  # a gene without a cell is no gene of the table
+    rows = [("d", g, f"s{s:02}", float(v)) for s, row in enumerate(x) for g, v in enumerate(row) if v]
+    values = spark.createDataFrame(rows, "dataset_id string, gene_id int, sample_id string, value double")
+    z = np.delete(x, 5, axis=1)
+    want = (np.corrcoef((z - z.mean(0)) / z.std(0)).sum(axis=1) - 1) / 29
+    for limit in (4096, 8):
+        monkeypatch.setattr(outliers, "GRAM_LIMIT", limit)
+        structure = outliers.sample_structure(values)
+        got = {r.sample_id: r.mean_correlation for r in outliers.mean_correlation(values, structure).collect()}
+        assert [got[f"s{s:02}"] for s in range(30)] == pytest.approx(want.tolist(), abs=1e-9)
+        assert len(outliers.correlation_outliers(values, structure).collect()) == 30
