@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, langid, mixing, neardup, pii, quality, substrings, tokens, urlfilter
+from . import alignment, decontaminate, jaccard, langid, mixing, neardup, pii, quality, runs, substrings, tokens, urlfilter
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +167,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Word order of a tenth of the documents, by their id: from some word on, the words after it repeat."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g, at = h // 10, np.arange(n)
+    start = g % n
+    return np.where(at < start, at, start + (at - start) % (1 + (n - start) // (3 + g % 8)))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), arrange=repeated_tail))
