@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, decontaminate, jaccard, langid, mixing, neardup, pii, quality, runs, substrings, tokens, urlfilter
+from . import alignment, decontaminate, jaccard, langid, mixing, neardup, pii, quality, rules, runs, substrings, tokens, urlfilter
 from .base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,63 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+_BEYOND = {rule: f"1000 * {part} {'<' if rule == 'short_words' else '>'} cutoff * {whole}" for rule, (part, whole) in rules.PARTS.items()}
+_REJECTS = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {test}" for rule, test in _BEYOND.items()) + " END"
+_GRID = ", ".join(f"({k}, '{rule}', {c})" for k, (rule, c) in enumerate((rule, c) for rule, cs in rules.CUTOFFS.items() for c in cs))
+
+
+@query("op11_quality_rules", rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{rules.WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x : regexp_matches(x, '{rules.WORD}')) AS lines
+  FROM documents),
+windows AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM words, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS u(k) GROUP BY rid),
+counted AS (
+  SELECT rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(t) - len(regexp_replace(t, '{rules.SYMBOL}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN covered USING (rid)),
+based AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed FROM counted),
+marks AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+labelled AS (
+  SELECT DISTINCT b.doc_id, lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, good,
+    ascii(md5(CAST(b.doc_id AS VARCHAR))) % 2 = 0 AS learns
+  FROM based b JOIN marks m ON b.doc_id = m.doc_id WHERE NOT base_failed),
+grid(k, rule, cutoff) AS (VALUES {_GRID}),
+seen AS (
+  SELECT k, rule, cutoff, count(*) FILTER (WHERE good AND {_REJECTS}) AS good, count(*) FILTER (WHERE NOT good AND {_REJECTS}) AS bad
+  FROM grid, (SELECT * FROM labelled WHERE learns) GROUP BY k, rule, cutoff),
+ordered AS (SELECT row_number() OVER (ORDER BY good, bad DESC, k) AS step, rule, cutoff FROM seen),
+learned AS (SELECT l.doc_id, l.good, min(step) AS step FROM labelled l LEFT JOIN ordered ON {_REJECTS} WHERE learns
+  GROUP BY l.doc_id, lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, l.good),
+added AS (SELECT step, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad FROM learned GROUP BY step),
+path AS (
+  SELECT row_number() OVER (ORDER BY step) AS pos, rule, cutoff FROM ordered JOIN added USING (step)
+  WHERE bad * (SELECT sum(good) FROM added) > good * (SELECT sum(bad) FROM added)),
+holdouts AS (SELECT * FROM labelled WHERE good AND NOT learns),
+sizes AS (SELECT lang, count(*) AS n, count(*) OVER () AS strata FROM holdouts GROUP BY lang),
+hits AS (SELECT h.lang, min(pos) AS pos FROM holdouts h LEFT JOIN path ON {_REJECTS}
+  GROUP BY doc_id, h.lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words),
+losses AS (SELECT s.lang, n, strata, p.pos, count(h.pos) AS k FROM sizes s CROSS JOIN path p LEFT JOIN hits h
+  ON h.lang IS NOT DISTINCT FROM s.lang AND h.pos <= p.pos GROUP BY s.lang, n, strata, p.pos),
+tails AS (
+  SELECT lang, pos, CASE WHEN k >= n * CAST({rules.ALPHA} AS DOUBLE) THEN true ELSE
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rules.ALPHA}::DOUBLE) + (n - j) * ln(1 - {rules.ALPHA}::DOUBLE)))
+     FROM unnest(range(0, k + 1)) AS u(j)) > CAST({rules.DELTA} AS DOUBLE) / strata END AS fails
+  FROM losses),
+proofs AS (SELECT lang, coalesce(min(pos) FILTER (WHERE fails) - 1, count(*)) AS steps FROM tails GROUP BY lang),
+judged AS (SELECT b.rid, min(pos) AS pos FROM based b JOIN path ON {_REJECTS} GROUP BY b.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (pos IS NULL OR pos > coalesce(steps, 0)) AS kept
+FROM based b LEFT JOIN judged USING (rid) LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM b.lang""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
