@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder: for loops, where a checkpoint would carry the size estimates of
+    its joins on, which square with every round until planning alone takes longer than the work."""
+    df.write.parquet(path := scratch_path(df.sparkSession, "table"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after counting at most ``limit`` + 1 of its rows.
 

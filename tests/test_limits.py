@@ -36,7 +36,7 @@ def test_shared_folder_is_asked_for():
         runtime.shared_dir(Session())
 
 
-def test_correlation_vote_at_every_size(spark, monkeypatch):
+def test_correlation_vote(spark):
     rng = np.random.default_rng(3)
     base = rng.gamma(2.0, 2.0, size=60)
     x = np.stack([base + rng.normal(size=60) * 0.4 for _ in range(30)])
@@ -47,9 +47,7 @@ def test_correlation_vote_at_every_size(spark, monkeypatch):
     values = spark.createDataFrame(rows, "dataset_id string, gene_id int, sample_id string, value double")
     z = np.delete(x, 5, axis=1)
     want = (np.corrcoef((z - z.mean(0)) / z.std(0)).sum(axis=1) - 1) / 29
-    for limit in (4096, 8):
-        monkeypatch.setattr(outliers, "GRAM_LIMIT", limit)
-        structure = outliers.sample_structure(values)
-        got = {r.sample_id: r.mean_correlation for r in outliers.mean_correlation(values, structure).collect()}
-        assert [got[f"s{s:02}"] for s in range(30)] == pytest.approx(want.tolist(), abs=1e-9)
-        assert len(outliers.correlation_outliers(values, structure).collect()) == 30
+    parts = outliers.sample_structure(values)
+    got = {r.sample_id: r.mean_correlation for r in outliers.mean_correlation(values, parts).collect()}
+    assert [got[f"s{s:02}"] for s in range(30)] == pytest.approx(want.tolist(), abs=1e-9)
+    assert len(outliers.correlation_outliers(values, parts).collect()) == 30
