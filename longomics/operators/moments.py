@@ -89,7 +89,7 @@ def matrix_summaries(counts: DataFrame, samples: DataFrame | None = None) -> dic
     return {"genes": genes, "libraries": libs, "histogram": hist}
 
 
-# Gene chunks per sample when zeros are made explicit: bounds a map to genes / CHUNKS entries.
+# Parts of a gene list that meet a sample one by one, so that neither a long list nor many samples gather in a task.
 CHUNKS = 64
 
 
@@ -97,20 +97,25 @@ def fill_genes(cells: DataFrame, samples: DataFrame, genes: DataFrame, sample_ke
                list_keys: list[str], value: str) -> DataFrame:
     """One row per sample and listed gene, absent cells as zeros.
 
-    Cells are packed per (sample, gene chunk), so neither a gene with very many samples nor a sample
-    with very many genes gathers in one place; the gene list of a chunk is then read off the map.
+    The listed places without a value and the cells fall together in one aggregate: no list or map of a sample's or a
+    gene's cells is built.
     """
-    def chunk() -> Column:
-        return F.pmod(F.xxhash64(GENE), F.lit(CHUNKS)).cast("bigint").alias("_k")
-
-    lists = genes.select(*list_keys, GENE, chunk()).groupBy(*list_keys, "_k").agg(F.collect_list(GENE).alias("_genes"))
-    maps = cells.select(*sample_keys, GENE, value, chunk()).groupBy(*sample_keys, "_k").agg(
-        F.map_from_entries(F.collect_list(F.struct(GENE, value))).alias("_cells"))
+    chunk = F.pmod(F.xxhash64(GENE), F.lit(CHUNKS)).cast("bigint").alias("_k")
+    listed = genes.select(*list_keys, GENE, chunk)
     slots = samples.select(*sample_keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CHUNKS - 1).cast("bigint"))).alias("_k"))
-    zero = F.lit(0).cast(cells.schema[value].dataType)
-    return (slots.join(lists, [*list_keys, "_k"]).join(maps, [*sample_keys, "_k"], "left")
-            .select(*sample_keys, "_cells", F.explode("_genes").alias(GENE))
-            .select(*sample_keys, GENE, F.coalesce(F.element_at("_cells", F.col(GENE)), zero).alias(value)))
+    kind = cells.schema[value].dataType
+    places = slots.join(listed, [*list_keys, "_k"]).select(*sample_keys, GENE, F.lit(None).cast(kind).alias(value), F.lit(True).alias("_listed"))
+    known = cells.select(*sample_keys, GENE, value, F.lit(False).alias("_listed"))
+    return (places.unionByName(known).groupBy(*sample_keys, GENE)
+            .agg(F.coalesce(F.max(value), F.lit(0).cast(kind)).alias(value), F.bool_or("_listed").alias("_listed"))
+            .where("_listed").select(*sample_keys, GENE, value))
+
+
+def zero_blocks(cells: DataFrame, samples: DataFrame, n_genes: DataFrame) -> DataFrame:
+    """(dataset, sample, _n): how many listed genes have no cell in a sample. ``cells`` hold non-zero cells of them only."""
+    own = cells.groupBy(DS, SAMPLE).agg(F.count(F.lit(1)).alias("_own"))
+    return (samples.select(DS, SAMPLE).distinct().join(n_genes.select(DS, "_genes"), DS).join(own, [DS, SAMPLE], "left")
+            .select(DS, SAMPLE, (F.col("_genes") - F.coalesce("_own", F.lit(0))).alias("_n")).where("_n > 0"))
 
 
 def densify(counts: DataFrame, value: str = "count", samples: DataFrame | None = None) -> DataFrame:

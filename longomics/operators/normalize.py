@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ordered
-from .moments import DS, GENE, SAMPLE, densify, sample_totals
+from .moments import DS, GENE, SAMPLE, densify, sample_totals, zero_blocks
 
 
 def log2p1(counts: DataFrame, value: str = "count") -> DataFrame:
@@ -21,9 +21,12 @@ def cpm(counts: DataFrame, log: bool = False) -> DataFrame:
 
 
 def quantile_normalise(counts: DataFrame) -> DataFrame:
-    """log2(count + 1), ordinal rank per sample (ties by gene), replaced by the mean at that rank."""
+    """log2(count + 1), ordinal rank per sample (ties by gene), replaced by the mean at that rank.
+
+    The result has every cell, and a window holds one sample's genes, whose number does not grow with the samples.
+    """
     dense = densify(counts).select(DS, GENE, SAMPLE, F.log2(F.col("count") + 1.0).alias("v"))
-    ranked = ordered.row_numbers(dense, [DS, SAMPLE], ["v", GENE], "_rank")
+    ranked = dense.withColumn("_rank", F.row_number().over(Window.partitionBy(DS, SAMPLE).orderBy("v", GENE)))
     means = ranked.groupBy(DS, "_rank").agg(F.avg("v").alias("value"))
     return ranked.join(means, [DS, "_rank"]).select(DS, GENE, SAMPLE, "value")
 
@@ -35,9 +38,13 @@ def quantile_normalise_interpolated(counts: DataFrame) -> DataFrame:
     the average over samples of each sample's k-th smallest value, assembled from (value, rank
     range) runs by a difference table and one prefix sum.
     """
-    dense = densify(counts).select(DS, GENE, SAMPLE, F.col("count").cast("double").alias("v"))
-    ties = ordered.tie_ranks(dense, [DS, SAMPLE], "v")
-    sample_sizes = dense.select(DS, SAMPLE).distinct().groupBy(DS).agg(F.count(F.lit(1)).alias("_ns"))
+    listed = counts.select(DS, SAMPLE).distinct()
+    cells = counts.where("count <> 0").select(DS, SAMPLE, GENE, F.col("count").cast("double").alias("v"))
+    n_genes = counts.select(DS, GENE).distinct().groupBy(DS).agg(F.count(F.lit(1)).alias("_genes"))
+    zeros = zero_blocks(cells, listed, n_genes).select(DS, SAMPLE, F.lit(0.0).alias("v"), "_n")
+    weighted = cells.select(DS, SAMPLE, "v", F.lit(1).cast("long").alias("_n")).unionByName(zeros)
+    ties = ordered.tie_ranks(weighted, [DS, SAMPLE], "v", weight=F.col("_n"))
+    sample_sizes = listed.groupBy(DS).agg(F.count(F.lit(1)).alias("_ns"))
     steps = ties.select(DS, F.explode(F.array(
         F.struct(F.col("rank_min").alias("pos"), F.col("v").alias("d")),
         F.struct((F.col("rank_max") + 1).alias("pos"), (-F.col("v")).alias("d")))).alias("s"))
@@ -53,6 +60,7 @@ def quantile_normalise_interpolated(counts: DataFrame) -> DataFrame:
               .join(lo, [DS, "_lo"]).join(hi, [DS, "_hi"])
               .select(DS, SAMPLE, "v", (F.col("m_lo") + (F.col("m_hi") - F.col("m_lo"))
                                         * (F.col("rank_avg") - F.col("_lo"))).alias("value")))
+    dense = densify(counts).select(DS, GENE, SAMPLE, F.col("count").cast("double").alias("v"))
     return dense.join(mapped, [DS, SAMPLE, "v"]).select(DS, GENE, SAMPLE, "value")
 
 
@@ -72,12 +80,17 @@ def median_centre(counts: DataFrame, study: str = "study") -> DataFrame:
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median over genes of count / geometric mean of the gene's non-zero counts, zeros included."""
-    reference = (counts.where("count > 0").groupBy(DS, GENE)
-                 .agg(F.exp(F.avg(F.ln("count"))).alias("_geo")))
-    ratios = (densify(counts).join(reference, [DS, GENE])
-              .select(DS, SAMPLE, (F.col("count") / F.col("_geo")).alias("ratio")))
-    return (ordered.quantiles(ratios, [DS, SAMPLE], "ratio", {"size_factor": 0.5})
+    """Median over genes of count / geometric mean of the gene's non-zero counts, zeros included.
+
+    All zeros of a sample are one weighted row.
+    """
+    positive = counts.where("count > 0")
+    reference = positive.groupBy(DS, GENE).agg(F.exp(F.avg(F.ln("count"))).alias("_geo"))
+    n_genes = reference.groupBy(DS).agg(F.count(F.lit(1)).alias("_genes"))
+    zeros = zero_blocks(positive, counts, n_genes).select(DS, SAMPLE, F.lit(0.0).alias("ratio"), "_n")
+    ratios = (positive.join(reference, [DS, GENE])
+              .select(DS, SAMPLE, (F.col("count") / F.col("_geo")).alias("ratio"), F.lit(1).cast("long").alias("_n")).unionByName(zeros))
+    return (ordered.quantiles(ratios, [DS, SAMPLE], "ratio", {"size_factor": 0.5}, weight=F.col("_n"))
             .select(DS, SAMPLE, "size_factor"))
 
 

@@ -507,8 +507,9 @@ def consensus_outliers(counts: DataFrame, values: DataFrame, methods: list[str]
     unknown = set(chosen) - set(METHODS)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
-    if parts is None and set(chosen) != {"library_size"}:
-        parts = sample_structure(values)
+    if set(chosen) != {"library_size"}:
+        values = cut(values)
+        parts = parts or sample_structure(values)
     scorers: dict[str, Callable[[], DataFrame]] = {
         "pca_mahalanobis": lambda: mahalanobis(parts["components"]).withColumnRenamed("distance", "score"),
         "isolation_forest": lambda: isolation_scores(values, parts["index"]),

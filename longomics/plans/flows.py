@@ -23,7 +23,7 @@ def log_values(counts: DataFrame, normalisation: str = "log2") -> DataFrame:
 def quality_components(counts: DataFrame, samples: DataFrame, columns: list[str],
                        normalisation: str = "log2") -> dict[str, DataFrame]:
     genes = cut(moments.matrix_summaries(counts)["genes"])
-    pcs = outliers.principal_components(log_values(counts, normalisation))
+    pcs = outliers.principal_components(cut(log_values(counts, normalisation)))
     basic = outliers.basic_outliers(pcs, counts)
     flagged = basic.groupBy(DS).agg(F.count_if("outlier").alias("n_outliers"), F.count(F.lit(1)).alias("n"))
     score = qc.outlier_score(F.col("n_outliers"), F.col("n"))
