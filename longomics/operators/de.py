@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources import files
 
 # Accepted spellings per tool, in order of preference.
 ALIASES = {
@@ -91,13 +93,32 @@ def filter_by_threshold(df: DataFrame, fdr: float, lfc: float = 0.0) -> DataFram
     return significance(df, fdr, lfc)
 
 
+# Order of the written output; a missing adjusted p-value stands last.
+OUTPUT_ORDER = ["adjusted_p_value", "gene_id"]
+
+
+def output_order(df: DataFrame) -> DataFrame:
+    """Missing adjusted p-values as infinity, for :func:`sinks.save_ordered` by ``OUTPUT_ORDER``."""
+    return df.withColumn("adjusted_p_value", F.coalesce("adjusted_p_value", F.lit(float("inf"))))
+
+
+def detect_tools(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    """(file, tool) for every result file below ``path``, told by its own header line."""
+    headers = files.file_headers(spark, path)
+    names = F.transform(F.split("header", sep), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    has = lambda *wanted: F.size(F.array_intersect(names, F.array(*[F.lit(w) for w in wanted])))
+    tool = (F.when(has("baseMean", "lfcSE") == 2, "deseq2").when((has("logCPM") == 1) & (has("LR", "F") > 0), "edger")
+            .when(has("AveExpr", "B") == 2, "limma").when(has("logFC", "pvalue") == 2, "wilcoxon").otherwise("deseq2"))
+    return headers.select("file", tool.alias("tool"))
+
+
 def tool_output(df: DataFrame, tool: str, fdr: float = 0.05, lfc: float = 0.0) -> DataFrame:
-    """Raw tool table to the common output: linear base mean, aliases, significance, by padj."""
+    """Raw tool table to the common output: linear base mean, aliases, significance. ``OUTPUT_ORDER`` is the written order."""
     logged = tool in ("limma", "edger")
     std = significance(standardise(df, tool), fdr, lfc)
     if logged and "base_mean" in std.columns:
         std = std.withColumn("base_mean", F.pow(F.lit(2.0), F.col("base_mean")))
-    return std.orderBy(F.col("adjusted_p_value").asc_nulls_last(), "gene_id")
+    return std
 
 
 def summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:

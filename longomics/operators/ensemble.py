@@ -225,6 +225,14 @@ def weighted_ensemble(de: DataFrame, weights: Mapping[str, float] | None = None,
     return kept.withColumns({"is_consistent": F.lit(True), "direction_agreement": F.lit(1.0)})
 
 
+# Order in which the results are read, best first, with the gene as the last key. For ``sinks.save_ordered``.
+RESULT_ORDER = {
+    "fisher": ["contrast_id", "combined_p", "gene_id"], "brown": ["contrast_id", "combined_p", "gene_id"],
+    "rank": ["contrast_id", "rra_score", "gene_id"], "voting": ["contrast_id", "-n_votes", "gene_id"],
+    "weighted": ["contrast_id", "-weighted_score", "gene_id"],
+}
+
+
 def compare_ensembles(de: DataFrame, significance: float = 0.05, min_methods: int = 2,
                       filters: Mapping[str, float] | None = None) -> DataFrame:
     """Consensus sizes of the five ensemble kinds per contrast."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clinical, compare, de, ensemble, ordered, thresholds
+from ..runtime import scratch_path
 from .registry import query, rnd, rounded, rq
 from .views import with_views
 
@@ -30,16 +31,17 @@ def sig(t):
     return de.significance(std(t), 0.3, 0.2)
 
 
-@query("de_detect_tool", "SELECT * FROM (VALUES ('deseq2', CAST(1 AS BIGINT)), ('edger', CAST(1 AS BIGINT)), ('limma', CAST(1 AS BIGINT)), ('wilcoxon', CAST(1 AS BIGINT))) v(tool, n_tables) WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("de_detect_tool", with_views("de") + "SELECT tool, CAST(count(*) AS BIGINT) AS n_rows FROM de CROSS JOIN (VALUES ('deseq2'), ('edger'), ('limma'), ('wilcoxon')) v(tool) GROUP BY 1")
 def _(t):
     d = raw_table(t)
     tables = [d.withColumn("lfcSE", F.lit(1.0)), raw_table(t, "edger").withColumn("LR", F.lit(1.0)),
               raw_table(t, "limma").withColumn("B", F.lit(1.0)), d.withColumnsRenamed({"log2FoldChange": "logFC"})]
-    out = None
-    for table in tables:
-        part = table.limit(1).select(F.lit(de.detect_tool(table.columns)).alias("tool"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("tool").agg(F.count(F.lit(1)).alias("n_tables"))
+    path = scratch_path(t.spark, "results")
+    for k, table in enumerate(tables):
+        table.write.option("header", True).csv(f"{path}/{k}")
+    found = de.detect_tools(t.spark, f"{path}/*")
+    lines = t.spark.read.text(f"{path}/*").groupBy(F.col("_metadata.file_path").alias("file")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return found.join(lines, "file").groupBy("tool").agg(F.sum("n").alias("n_rows"))
 
 
 @query("de_standardise", with_views("de", STD) + f"SELECT contrast_id, method, gene_id, {rq('lfc', 'log2_fold_change')}, {rq('p', 'p_value')}, {rq('q', 'adjusted_p_value')}, {rq('bm', 'base_mean')} FROM std")
