@@ -247,19 +247,21 @@ def _(t):
     return files.gsm_tables(t.spark, written(t, c, "gsm")).groupBy("gene_id").agg(F.sum("count").alias("count"))
 
 
-@query("source_supplementary", with_views("counts") + "SELECT CAST(gene_id AS VARCHAR) AS gene_id, 's' || sample_id AS sample_id, CAST(sum(count) AS DOUBLE) AS count FROM counts GROUP BY 1, 2 HAVING sum(count) > 0")
+@query("source_supplementary", with_views("counts") + """SELECT CAST(g.gene_id AS VARCHAR) AS gene_id, 's' || s.sample_id AS sample_id, CAST(coalesce(sum(c.count), 0) AS DOUBLE) AS count
+FROM (SELECT DISTINCT gene_id FROM counts) g CROSS JOIN (SELECT DISTINCT sample_id FROM counts) s LEFT JOIN counts c ON c.gene_id = g.gene_id AND c.sample_id = s.sample_id GROUP BY 1, 2""")
 def _(t):
-    w = sinks.wide_matrix(whole(t), list(range(24)))
-    w = w.select("gene_id", F.lit("text").alias("description"), *[F.when(F.col(str(i)) > 0, F.col(str(i))).alias(f"s{i}") for i in range(24)])
-    return files.supplementary_matrix(t.spark, written(t, w, "raw_counts.tsv")).where("count > 0")
+    ids = sorted(r["sample_id"] for r in t.samples().select("sample_id").distinct().collect())
+    w = sinks.wide_matrix(whole(t), ids)
+    w = w.select("gene_id", F.lit("text").alias("description"), *[F.when(F.col(str(i)) > 0, F.col(str(i))).alias(f"s{i}") for i in ids])
+    return files.supplementary_matrix(t.spark, written(t, w, "raw_counts.tsv"))
 
 
-@query("source_sdrf", with_views("counts samples") + "SELECT dataset_id || c.sample_id AS sample_id, count(*) AS n, CASE WHEN sample_id % 2 = 0 THEN 'control' ELSE 'treated' END AS disease FROM counts c GROUP BY 1, 3")
+@query("source_sdrf", with_views("counts samples") + "SELECT dataset_id || c.sample_id AS sample_id, count(*) AS n, CAST(sum(count) AS BIGINT) AS total, CASE WHEN sample_id % 2 = 0 THEN 'control' ELSE 'treated' END AS disease FROM counts c GROUP BY 1, 4")
 def _(t):
     name = F.concat("dataset_id", F.col("sample_id").cast("string"))
     sdrf = t.samples().select(name.alias("Source Name"), F.col("condition").alias("Characteristics[disease]"))
     cells = t.counts().select(name.alias("sample_id"), "gene_id", "count")
-    return files.with_sdrf(cells, t.spark, written(t, sdrf, "sdrf")).groupBy("sample_id", "disease").agg(F.count(F.lit(1)).alias("n"))
+    return files.with_sdrf(cells, t.spark, written(t, sdrf, "sdrf")).groupBy("sample_id", "disease").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"))
 
 
 @query("source_run_table", "SELECT 'SRR' || o_orderkey AS run_accession, CAST(o_custkey AS VARCHAR) AS sample_alias FROM orders")

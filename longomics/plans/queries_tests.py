@@ -153,10 +153,12 @@ BV = """b0 AS (SELECT p_brand AS gene_id, CAST(l_suppkey % 24 AS INTEGER) AS sam
 bv AS (SELECT g.gene_id, s.sample_id, coalesce(b.value, 0.0) AS value, s.sample_id % 2 AS y FROM (SELECT DISTINCT gene_id FROM b0) g CROSS JOIN (SELECT DISTINCT sample_id FROM b0) s LEFT JOIN b0 b ON b.gene_id = g.gene_id AND b.sample_id = s.sample_id)"""
 
 
-@query("apply_ratios", "WITH " + BV + f" SELECT a.sample_id, a.gene_id AS gene_a, b.gene_id AS gene_b, {rq('(a.value + 1) / (b.value + 1)', 'ratio')} FROM bv a JOIN bv b ON a.sample_id = b.sample_id WHERE a.gene_id = 'Brand#1' AND b.gene_id <> 'Brand#1'")
+@query("apply_ratios", "WITH " + BV + f" SELECT a.sample_id, a.gene_id AS gene_a, b.gene_id AS gene_b, {rq('(a.value + 1) / (b.value + 1)', 'ratio')} FROM bv a JOIN bv b ON a.sample_id = b.sample_id WHERE a.gene_id < b.gene_id")
 def _(t):
     v = brand_values(t)
-    pairs = v.select("gene_id").distinct().where("gene_id <> 'Brand#1'").select(F.lit("Brand#1").alias("gene_a"), F.col("gene_id").alias("gene_b"))
+    genes = F.transform(F.col("g"), lambda a: F.struct(a.alias("gene_a"), F.filter("g", lambda b: b > a).alias("later")))
+    names = v.select("gene_id").distinct().agg(F.collect_set("gene_id").alias("g")).select(F.explode(genes).alias("p"))
+    pairs = names.select("p.gene_a", F.explode("p.later").alias("gene_b"))
     return rounded(signature.apply_ratios(v, pairs).drop("dataset_id"), "ratio")
 
 
