@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import checks, cohort, pooling, quantification as qn
 from ..runtime import scratch_path
 from ..sources import files
+from .queries_matrix import combat_ctes, recursive
 from .registry import query, rnd, rounded, rq
 from .views import with_views
 
@@ -346,7 +347,9 @@ def _(t):
     return p.select("study", "gene_id", "sample_id", rnd("value", 5).alias("value"))
 
 
-@query("pool_combat")
+@query("pool_combat", recursive(with_views("counts", STUDY_CTE, COMMON_CTE, "s AS (SELECT DISTINCT study, sample_id FROM st)",
+       "pl AS (SELECT 'pooled' AS dataset_id, s.study, cg.gene_id, s.study || '__' || s.sample_id AS sample_id, coalesce(c.count, 0) AS count FROM cg CROSS JOIN s LEFT JOIN st c ON c.study = s.study AND c.gene_id = cg.gene_id AND c.sample_id = s.sample_id)",
+       *combat_ctes("pl"))) + f"SELECT study, gene_id, sample_id, {rq('value', 'value', 5)} FROM cbv")
 def _(t):
     p = pooling.pool(studies(t), "inner", "combat", 10)
     return p.select("study", "gene_id", "sample_id", rnd("value", 5).alias("value"))

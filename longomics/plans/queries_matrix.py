@@ -120,7 +120,29 @@ def _(t):
     return normalize.median_ratio(t.counts()).select(*IDS, rnd("value", 5).alias("value"))
 
 
-@query("combat")
+def combat_ctes(source: str) -> tuple[str, ...]:
+    """CTEs of the batch adjustment of ``source`` (dataset_id, gene_id, sample_id, study, count); the last is ``cbv``."""
+    return (f"pb AS (SELECT dataset_id, gene_id, study, count(*) AS n, avg(count) AS m, var_pop(count) AS vp FROM {source} GROUP BY 1, 2, 3)",
+            "gn AS (SELECT dataset_id, gene_id, sum(n * m) / sum(n) AS grand, sum(n * vp) / sum(n) AS pooled FROM pb GROUP BY 1, 2)",
+            "sc AS (SELECT pb.*, grand, CASE WHEN pooled > 0 THEN sqrt(pooled) ELSE 1.0 END AS sd FROM pb JOIN gn ON gn.dataset_id = pb.dataset_id AND gn.gene_id = pb.gene_id)",
+            "sz AS (SELECT *, (m - grand) / sd AS g, CASE WHEN n > 1 THEN vp * n / (n - 1) ELSE 0.0 END / (sd * sd) AS d FROM sc)",
+            "p0 AS (SELECT dataset_id, study, avg(g) AS g_bar, coalesce(var_samp(g), 0.0) AS t2, avg(d) AS d_bar, greatest(coalesce(var_samp(d), 0.0), 1e-12) AS s2 FROM sz GROUP BY 1, 2)",
+            "pr AS (SELECT dataset_id, study, g_bar, t2, (2 * s2 + d_bar * d_bar) / s2 AS pa, (d_bar * s2 + d_bar * d_bar * d_bar) / s2 AS pb FROM p0)",
+            "jn AS (SELECT sz.*, g_bar, t2, pr.pa, pr.pb FROM sz JOIN pr ON pr.dataset_id = sz.dataset_id AND pr.study = sz.study)",
+            """it AS (SELECT dataset_id, gene_id, study, n, g, d, g_bar, t2, pa, pb, grand, sd, 0 AS k, CAST(g AS DOUBLE) AS gs, CAST(d AS DOUBLE) AS ds, false AS done FROM jn
+UNION ALL SELECT dataset_id, gene_id, study, n, g, d, g_bar, t2, pa, pb, grand, sd, k + 1, gs2, ds2, greatest(abs(gs2 - gs), abs(ds2 - ds)) < 1e-4 FROM (
+  SELECT *, (0.5 * ((n - 1) * d + n * (g - gs2) * (g - gs2)) + pb) / (n / 2.0 + pa - 1.0) AS ds2 FROM (
+    SELECT *, (n * t2 * g + ds * g_bar) / (n * t2 + ds + 1e-300) AS gs2 FROM it WHERE NOT done AND k < 100) q1) q2)""",
+            "fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, gene_id, study ORDER BY k DESC) AS lastk FROM it) q WHERE lastk = 1)",
+            f"""cbv AS (SELECT c.dataset_id, c.gene_id, c.sample_id, c.study, ((count - grand) / sd - gs) / sqrt(greatest(ds, 1e-12)) * sd + grand AS value
+FROM {source} c JOIN fi ON fi.dataset_id = c.dataset_id AND fi.gene_id = c.gene_id AND fi.study = c.study)""")
+
+
+def recursive(ctes: str) -> str:
+    return ctes.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("combat", recursive(with_views("dense", STUDY_SQL, *combat_ctes("st"))) + f"SELECT dataset_id, gene_id, sample_id, {rq('value', 'value')} FROM cbv")
 def _(t):
     return values6(normalize.batch_correct(studied(t), "combat"))
 
@@ -356,6 +378,35 @@ def _(t):
     return rounded(outliers.lof_outliers(outliers.principal_components(normalize.log2p1(t.counts()))), "score")
 
 
+# Five coordinates a sample, so that both engines start from the same points.
+POINTS = ("pc AS (SELECT l_returnflag AS dataset_id, CAST(l_suppkey % 24 AS INTEGER) AS sample_id, l_linenumber AS k, log2(sum(l_quantity) + 1.0) AS v FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2, 3)",
+          "pt AS (SELECT s.dataset_id, s.sample_id, ks.k, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT dataset_id, sample_id FROM pc) s CROSS JOIN (VALUES (1), (2), (3), (4), (5)) ks(k) LEFT JOIN pc ON pc.dataset_id = s.dataset_id AND pc.sample_id = s.sample_id AND pc.k = ks.k)")
+
+
+def points(t):
+    line = F.col("l_linenumber")
+    sums = (t.lineitem.where("l_linenumber <= 5").groupBy(F.col("l_returnflag").alias("dataset_id"), (F.col("l_suppkey") % 24).cast("int").alias("sample_id"))
+            .agg(*[F.log2(F.coalesce(F.sum(F.when(line == k, F.col("l_quantity"))), F.lit(0.0)) + 1.0).alias(f"c{k}") for k in range(1, 6)]))
+    sums = sums.withColumn("scores", F.array(*[f"c{k}" for k in range(1, 6)]))
+    return sums.join(outliers.sample_index(sums), ["dataset_id", "sample_id"]).select("dataset_id", "sample_id", "i", "scores")
+
+
+@query("lof_of_points", "WITH " + ", ".join(POINTS) + f""", dd AS (SELECT a.dataset_id, a.sample_id, b.sample_id AS o, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM pt a JOIN pt b ON a.dataset_id = b.dataset_id AND a.k = b.k AND a.sample_id <> b.sample_id GROUP BY 1, 2, 3),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, sample_id ORDER BY d, o) AS r FROM dd) q WHERE r <= 5),
+kd AS (SELECT dataset_id, sample_id, max(d) AS kd FROM nn GROUP BY 1, 2),
+lr AS (SELECT nn.dataset_id, nn.sample_id, 1.0 / (avg(greatest(nn.d, kd.kd)) + 1e-10) AS l FROM nn JOIN kd ON kd.dataset_id = nn.dataset_id AND kd.sample_id = nn.o GROUP BY 1, 2)
+SELECT nn.dataset_id, nn.sample_id, {rq('avg(f.l) / max(own.l)', 'score')} FROM nn JOIN lr f ON f.dataset_id = nn.dataset_id AND f.sample_id = nn.o
+JOIN lr own ON own.dataset_id = nn.dataset_id AND own.sample_id = nn.sample_id GROUP BY 1, 2""")
+def _(t):
+    return rounded(outliers.lof_scores(points(t), 5), "score")
+
+
+@query("mahalanobis_of_points", "WITH " + ", ".join(POINTS) + f""", mo AS (SELECT dataset_id, k, avg(v) AS m, var_samp(v) AS s FROM pt GROUP BY 1, 2)
+SELECT pt.dataset_id, sample_id, {rq('sqrt(sum((v - m) * (v - m) / s))', 'distance')} FROM pt JOIN mo ON mo.dataset_id = pt.dataset_id AND mo.k = pt.k GROUP BY 1, 2""")
+def _(t):
+    return rounded(outliers.mahalanobis(points(t)), "distance")
+
+
 @query("outliers_isolation_forest")
 def _(t):
     return rounded(outliers.isolation_forest_outliers(normalize.log2p1(t.counts())), "score")
