@@ -34,11 +34,11 @@ def test_leading_components_of_more_samples_than_columns(matrix, monkeypatch):
     x, df = matrix
     monkeypatch.setattr(structure, "SAMPLE_BLOCK", 5)
     monkeypatch.setattr(structure, "GENE_BLOCK", 16)
-    got = structure.components(df, outliers.sample_index(df), n_components=2, guard=7, rounds=12).orderBy("i").toPandas()
+    got = structure.components(df, outliers.sample_index(df), n_components=2, guard=8, rounds=7).orderBy("i").toPandas()
     z = scaled(x)
     val, vec = np.linalg.eigh(z @ z.T)
     val, vec = val[::-1], vec[:, ::-1]
-    assert np.allclose(got["ratios"].iloc[0], (val / val.sum())[:2], rtol=1e-6)
+    assert np.allclose(got["ratios"].iloc[0], (val / val.sum())[:2], rtol=1e-5)
     want = vec[:, :2] * np.sqrt(val[:2])
     want = want * np.where(want[np.abs(want).argmax(0), range(2)] < 0, -1, 1)
     assert np.allclose(np.vstack(got["scores"]), want, atol=1e-2)
@@ -84,9 +84,9 @@ def test_robust_covariance_matches_numpy(spark, monkeypatch):
     near = raw * outliers.chi2_quantile(0.5, 2) / np.median(raw) < outliers.chi2_quantile(0.025, 2)
     diff = x - x[near].mean(0)
     want = np.einsum("ij,jk,ik->i", diff, np.linalg.pinv(np.cov(x[near].T, bias=True)), diff)
-    got = outliers.elliptic_scores(pcs, starts=400, kept=20).orderBy("sample_id").toPandas()["score"]
-    assert np.allclose(got, want, rtol=1e-8)
-    flagged = outliers.elliptic_outliers(pcs, contamination=0.125).where("outlier").toPandas()["sample_id"]
+    scores = outliers.elliptic_scores(pcs, starts=400, kept=8).cache()
+    assert np.allclose(scores.orderBy("sample_id").toPandas()["score"], want, rtol=1e-8)
+    flagged = outliers.flag_share(scores, 0.125).where("outlier").toPandas()["sample_id"]
     assert sorted(flagged) == list(range(175, 200))
 
 
