@@ -457,9 +457,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = join(docs, key, text).where(F.col(key).isNotNull())
     state = cut(found.groupBy(key).agg(F.min(F.col("component_id") != F.col(key)).alias("goes"), F.count(F.lit(1)).alias("rows")))
     left = docs.join(state.where("goes").select(key), key, "left_anti")
-    repeated = state.where("rows > 1").select(key, F.lit(True).alias("_again"))
+    again = "_again"
+    while again in {c.lower() for c in docs.columns}:
+        again += "_"
+    repeated = state.where("rows > 1").select(key, F.lit(True).alias(again))
     if repeated.isEmpty():
         return left.select(docs.columns)
     marked = left.join(repeated, key, "left")
-    once = marked.where("_again").dropDuplicates([key])
-    return marked.where(F.col("_again").isNull()).unionByName(once).select(docs.columns)
+    once = marked.where(F.col(again)).dropDuplicates([key])
+    return marked.where(F.col(again).isNull()).unionByName(once).select(docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from longomics.llm import alignment, runs
+from longomics.llm import alignment, jaccard, runs
 from longomics.llm.catalog import repeated_tail
 
 SCHEMA = "doc_id long, text string, lang string, runs int, key string, n long, t string"
@@ -195,3 +195,11 @@ def test_alignment_query(spark, sf):
     small = {r[0] for r in want}
     assert {r[:5] + r[7:] for r in got if r[0] in small} == {r[:5] + r[7:] for r in want}
     assert len(got) == len(rows)
+
+
+def test_one_of_each_group_with_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a", True), (2, text + " more", "b", False), (3, "other words stand here alone and quiet", "c", None), (3, "other words stand here alone and quiet", "d", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _again_ string, _Again boolean")
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
