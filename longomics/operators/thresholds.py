@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ordered
 from .compare import ratio
-from ..runtime import cut
+from ..runtime import cut, small
 
 # Parameter bounds and the lambda grid of the null-proportion estimate.
 ALPHA_BOUNDS = (0.001, 0.20)
@@ -146,8 +146,10 @@ def reproducibility_trials(first: DataFrame, second: DataFrame, params: Params,
 def stability_trials(de: DataFrame, params: Params, by: Sequence[str], replicates: int = 100, seed: int = 42) -> DataFrame:
     """Mean pairwise Jaccard of perturbed gene sets (drop a tenth, add as many at random).
 
-    Every replicate orders genes by a seeded hash. A gene's memberships over the replicates form one
-    vector; the replicate-by-replicate intersection counts are sums of its outer product.
+    Every replicate orders genes by a seeded hash. Genes of the base set meet all replicates. Of the others only those
+    whose hash lies below a level go on, which holds the few that are added but for odds of about 1e-20 a replicate, so
+    what is shuffled does not follow the number of genes; an exact rank then picks them. A gene's memberships over the
+    replicates form one vector; the replicate-by-replicate intersection counts are sums of its outer product.
     """
     points = F.array(*[F.struct(F.lit(i).alias("iteration"), F.lit(a).alias("alpha"), F.lit(c).alias("lfc"))
                        for i, (a, c) in enumerate(params)])
@@ -157,16 +159,20 @@ def stability_trials(de: DataFrame, params: Params, by: Sequence[str], replicate
     keys = [*by, "iteration"]
     size = rows.groupBy(*keys).agg(F.count_if("base").alias("n"), F.count(F.lit(1)).alias("all"))
     vary = F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
-    size = size.select(*keys, "n", "all", vary.alias("v"))
-    reps = rows.join(size.where("n > 0"), keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    hashed = reps.select(*keys, "b", "gene_id", "base", "n", "v",
-                         F.xxhash64("gene_id", "b", F.lit(seed)).alias("h1"),
-                         F.xxhash64("gene_id", "b", F.lit(seed + 7919)).alias("h2"))
+    size = cut(size.select(*keys, "n", "all", vary.alias("v")))
+    placed = rows.join(small(size.where("n > 0")), keys)
+    place = lambda b: F.pmod(F.xxhash64("gene_id", b, F.lit(seed + 7919)), F.lit(1 << 52)) / float(1 << 52)
+    every = F.sequence(F.lit(0), F.lit(replicates - 1))
+    level = (F.col("v") + 10.0 * F.sqrt("v") + 60.0) / F.greatest(F.col("all") - F.col("n"), F.lit(1))
     group = [*keys, "b"]
-    inside = ordered.row_numbers(hashed.where("base"), group, ["h1", "gene_id"], "r1")
+    hashed = placed.where("base").withColumn("b", F.explode(every)).select(
+        *group, "gene_id", "n", "v", F.xxhash64("gene_id", "b", F.lit(seed)).alias("h1"), place(F.col("b")).alias("h2"))
+    inside = ordered.row_numbers(hashed, group, ["h1", "gene_id"], "r1")
     gone = (F.col("n") > F.col("v")) & (F.col("r1") <= F.col("v"))
     wanted = [*group, "gene_id", "h2", "v"]
-    candidates = hashed.where("NOT base").select(*wanted).unionByName(inside.where(gone).select(*wanted))
+    drawn = placed.where("NOT base").withColumn("x", F.explode(F.filter(
+        F.transform(every, lambda b: F.struct(b.alias("b"), place(b).alias("h2"))), lambda x: x["h2"] < level)))
+    candidates = drawn.select(*keys, "x.b", "gene_id", "x.h2", "v").unionByName(inside.where(gone).select(*wanted))
     added = ordered.row_numbers(candidates, group, ["h2", "gene_id"], "r2").where("r2 <= v")
     members = inside.where(~gone).select(*group, "gene_id").unionByName(added.select(*group, "gene_id"))
     vectors = (members.groupBy(*keys, "gene_id")

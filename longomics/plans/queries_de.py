@@ -342,7 +342,7 @@ def _(t):
 @query("tuning_stability")
 def _(t):
     points = [(0.05, 0.0), (0.1, 0.1), (0.2, 0.2), (0.9, 0.0)]
-    return rounded(thresholds.stability_trials(t.de(), points, METHOD_DE, replicates=50), "score")
+    return rounded(thresholds.stability_trials(t.de(), points, METHOD_DE), "score")
 
 
 @query("tuning_evolution")
