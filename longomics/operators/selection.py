@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from . import classify, clinical, genetests, ordered, qc
+from . import classify, clinical, coexpression, genetests, ordered, qc, treeshap
 from .moments import DS, GENE, SAMPLE
 from ..functions.tails import binomial_two_sided_half, t_two_sided
 from ..functions.text import stability_label
@@ -173,88 +172,25 @@ def rfe(values: DataFrame, n: int = 20, step: float = 0.1, seed: int = 42, trees
     return df.select(F.lit("rfe").alias("method"), GENE, "score", (F.col("score") >= 1.0).alias("selected"))
 
 
-def shapley(values: DataFrame, n: int = 20, permutations: int = 4, seed: int = 42, trees: int = 50) -> DataFrame:
-    """Mean absolute sampled Shapley values of a forest (Strumbelj and Kononenko 2014).
-
-    Every sample and permutation yields the chain of mixed vectors between a hash-picked background
-    sample and itself; the model scores them as ordinary rows and neighbouring differences are the
-    contributions.
-    """
-    vectors, names = _vectors(values)
-    p = len(names)
-    model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=5, seed=seed).fit(vectors)
-    numbered = cut(ordered.row_numbers(vectors.withColumn("_h", F.xxhash64(F.col(SAMPLE).cast("string"), F.lit(seed))), [], ["_h", SAMPLE], "i"))
-    count = numbered.count()
-    chains = numbered.select(SAMPLE, "i", vector_to_array("features").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("m"))
-    partner = numbered.select(F.col("i").alias("b"), vector_to_array("features").alias("z"))
-    chains = chains.withColumn("b", F.pmod(F.col("i") + F.xxhash64("m", "i", F.lit(seed)), F.lit(count)) + 1).join(partner, "b")
-    idx = F.sequence(F.lit(0), F.lit(p - 1))
-    order = F.transform(F.array_sort(F.transform(idx, lambda j: F.struct(F.xxhash64(j, "i", "m").alias("h"), j.alias("j")))), lambda e: e["j"])
-    chains = chains.withColumn("order", order).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    taken = F.slice("order", F.lit(1), F.col("k"))
-    mixed = F.transform(idx, lambda j: F.when(F.array_contains(taken, j), F.get("x", j)).otherwise(F.get("z", j)))
-    rows = chains.select(SAMPLE, "m", "k", "order", array_to_vector(mixed).alias("features"))
-    f = model.transform(rows).select(SAMPLE, "m", "k", "order", vector_to_array("probability")[1].alias("f"))
-    ends = F.array(F.when(F.col("k") > 0, F.struct(F.get("order", F.col("k") - 1).alias("j"), F.col("f").alias("v"))),
-                   F.when(F.col("k") < p, F.struct(F.get("order", F.col("k")).alias("j"), (-F.col("f")).alias("v"))))
-    phi = f.select(SAMPLE, F.explode(F.array_compact(ends)).alias("e")).groupBy(SAMPLE, "e.j").agg((F.sum("e.v") / permutations).alias("phi"))
-    mean = phi.groupBy("j").agg(F.avg(F.abs("phi")).alias("score"))
-    return scored(mean.join(cut(classify.gene_positions(values)), "j").select(GENE, "score"), "shap", n)
-
-
-def gene_blocks(values: DataFrame, size: int = 128) -> DataFrame:
-    """Standardised gene vectors with a block number (dense values of one cohort)."""
-    g = values.groupBy(GENE).agg(F.sort_array(F.collect_list(F.struct(SAMPLE, "value"))).alias("c"), F.stddev_pop("value").alias("s"))
-    numbered = ordered.row_numbers(g.where("s > 1e-12").select(GENE, F.col("c.value").alias("x")), [], [GENE], "n")
-    return numbered.select(GENE, "x", F.floor((F.col("n") - 1) / size).cast("int").alias("blk"))
-
-
-def coexpression_edges(values: DataFrame, power: int = 6, cutoff: float = 0.2) -> DataFrame:
-    """Signed soft-threshold edges ((1 + r) / 2)^power at or above the cut-off, by block meetings."""
-    blocks = cut(gene_blocks(values))
-    nb = (blocks.agg(F.max("blk")).first()[0] or 0) + 1
-    spread = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select(
-        F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", GENE, "x")
-    kind = values.schema[GENE].dataType.simpleString()
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["blk"] == key[0]], pdf[pdf["blk"] == key[1]]
-        z = [np.vstack(side["x"].to_numpy()) for side in (left, right)]
-        z = [(m - m.mean(1, keepdims=True)) / (m.std(1, keepdims=True) * np.sqrt(m.shape[1])) for m in z]
-        adj = np.clip((1 + z[0] @ z[1].T) / 2, 0, 1) ** power
-        ga, gb = left[GENE].to_numpy(), right[GENE].to_numpy()
-        i, j = np.nonzero((adj >= cutoff) & (ga[:, None] < gb[None]))
-        return pd.DataFrame({"a": ga[i], "b": gb[j], "w": adj[i, j]})
-
-    return spread.groupBy("p", "q").applyInPandas(meet, f"a {kind}, b {kind}, w double")
-
-
-def modules(edges: DataFrame, min_size: int = 3) -> DataFrame:
-    """Connected groups of the edge table by smallest-label spreading; groups under the size are dropped."""
-    both = cut(edges.select(F.col("a").alias(GENE), F.col("b").alias("n")).unionByName(edges.select(F.col("b").alias(GENE), F.col("a").alias("n"))))
-    label = cut(both.select(GENE, F.col(GENE).alias("module")).distinct())
-    while True:
-        near = both.join(label.select(F.col(GENE).alias("n"), F.col("module").alias("m")), "n").groupBy(GENE).agg(F.min("m").alias("m"))
-        step = label.join(near, GENE).select(GENE, F.least("module", "m").alias("new"), "module")
-        # Pointer jump: take the label of the label.
-        jump = step.join(label.select(F.col(GENE).alias("new"), F.col("module").alias("far")), "new", "left")
-        nxt = cut(jump.select(GENE, F.least("new", F.coalesce("far", "new")).alias("module"), F.col("module").alias("old")))
-        changed = not nxt.where("module <> old").isEmpty()
-        label = nxt.select(GENE, "module")
-        if not changed:
-            break
-    size = label.groupBy("module").agg(F.count(F.lit(1)).alias("n_genes")).where(F.col("n_genes") >= min_size)
-    return label.join(size, "module")
+def shapley(values: DataFrame, n: int = 20, seed: int = 42, trees: int = 100, depth: int = 5) -> DataFrame:
+    """Mean absolute exact Shapley values of a forest over all samples; genes that no tree uses score zero."""
+    positions = cut(classify.gene_positions(values))
+    vectors = cut(classify.sample_matrix(values, positions))
+    model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    ranked = positions.join(treeshap.importances(model, vectors), "j", "left")
+    return scored(ranked.select(GENE, F.coalesce("score", F.lit(0.0)).alias("score")), "shap", n)
 
 
-def coexpression_hubs(values: DataFrame, power: int = 6, cutoff: float = 0.2, min_size: int = 3, hubs: int = 10,
-                      trait: float = 0.3, rounds: int = 15) -> DataFrame:
+def coexpression_hubs(values: DataFrame, power: int = 6, neighbours: int = 50, height: float = 0.9, min_size: int = 30,
+                      hubs: int = 10, trait: float = 0.3, rounds: int = 15) -> DataFrame:
     """Hub genes of trait-correlated modules: kME x |module-trait correlation|, kept for the best hubs.
 
-    The eigengene of every module comes from power iteration as alternating gene and sample
-    aggregates keyed by module.
+    Fewer than 15 samples are refused. The eigengene of every module comes from power iteration as
+    alternating gene and sample aggregates keyed by module.
     """
-    m = cut(modules(coexpression_edges(values, power, cutoff), min_size))
+    if (found := values.select(SAMPLE).distinct().limit(15).count()) < 15:
+        raise ValueError(f"co-expression modules need 15 samples, found {found}")
+    m = cut(coexpression.modules(values, power, neighbours, height, min_size).select(GENE, "module"))
     stats = values.groupBy(GENE).agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).where("sd > 1e-12")
     cells = cut(values.join(m, GENE).join(stats, GENE).select("module", GENE, SAMPLE, "y", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("z")))
     eig = cells.groupBy("module", SAMPLE).agg(F.avg("z").alias("e"), F.max("y").alias("y"))

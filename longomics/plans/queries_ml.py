@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, mlrecommend, profile, selection
+from ..operators import classify, coexpression, mlrecommend, moments, profile, selection
 from ..runtime import cut
 from . import biomarkers
 from .queries_tests import patients
@@ -22,6 +22,13 @@ def slots(t):
     return cut(brand_values(t).withColumn("y", F.col("y").cast("int")))
 
 
+def part_slots(t):
+    """Expression of every part per supplier slot: as many genes as parts, 24 samples."""
+    c = (t.lineitem.groupBy(F.lit("all").alias("dataset_id"), F.col("l_partkey").alias("gene_id"), (F.col("l_suppkey") % 24).cast("int").alias("sample_id"))
+         .agg(F.log2(F.sum("l_quantity") + 1.0).alias("value")))
+    return cut(moments.densify(c, "value").withColumn("y", F.col("sample_id") % 2))
+
+
 def out(df):
     return rounded(df.select("method", "gene_id", "score", "selected"), "score", digits=4)
 
@@ -64,12 +71,17 @@ def _(t):
 
 @query("select_shapley")
 def _(t):
-    return out(selection.shapley(slots(t), 10, permutations=2, trees=20))
+    return out(selection.shapley(part_slots(t), 50))
 
 
 @query("select_coexpression_hubs")
 def _(t):
-    return out(selection.coexpression_hubs(slots(t), power=2, cutoff=0.36, trait=0.0, rounds=4))
+    return out(selection.coexpression_hubs(part_slots(t), min_size=5))
+
+
+@query("coexpression_modules")
+def _(t):
+    return coexpression.modules(part_slots(t), min_size=5)
 
 
 @query("selector_consensus")

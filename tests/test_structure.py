@@ -175,10 +175,3 @@ def test_panel_stability_extremes(spark):
     rand = spark.createDataFrame([(f, int(g)) for f in range(40) for g in rng.choice(100, 10, replace=False)], "fold int, gene_id int")
     got = selection.panel_stability(rand, 100, 40, 50).first()
     assert abs(got["phi"]) < 0.05 and got["label"] == "poor"
-
-
-def test_modules_are_connected_groups(spark):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("x", "y", 1.0), ("p", "q", 1.0), ("q", "z", 1.0), ("y", "w", 1.0)],
-                                  "a string, b string, w double")
-    got = {tuple(sorted(r["g"])) for r in selection.modules(edges, 3).groupBy("module").agg(F.collect_list("gene_id").alias("g")).collect()}
-    assert got == {("a", "b", "c"), ("w", "x", "y"), ("p", "q", "z")}
