@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import ordered
 from .moments import GENE, SAMPLE
 from ..functions.tails import normal_two_sided
-from ..runtime import cut
+from ..runtime import cut, settle
 
 Z95 = 1.959963984540054
 
@@ -157,6 +157,76 @@ def proximal_newton(beta: np.ndarray, grad: np.ndarray, info: np.ndarray, l1: fl
     return b
 
 
+def cox_lasso(cells: DataFrame, alpha: float = 0.1, l1_ratio: float = 1.0, iterations: int = 300,
+              tol: float = 1e-5) -> tuple[DataFrame, DataFrame]:
+    """Elastic-net Cox model over all genes of ``cells``: (gene_id, coef) and (sample_id, time, event, score).
+
+    ``cells``: (gene_id, sample_id, time, event, value), every sample present for every gene; values are z-scored, genes
+    without spread get coefficient 0. Minimises -loglik / n + alpha (l1_ratio |b| + (1 - l1_ratio) b^2 / 2), Efron ties.
+
+    The gradient of a gene is the sum of its values times the samples' martingale residuals, so a step is two scans over
+    event times and one aggregate over the cells: nothing grows with genes^2, and coefficients stay a table. Step lengths
+    follow the last change of the gradient (Barzilai and Borwein) and are halved until the objective falls enough below the
+    highest of the last five.
+    """
+    usable = cells.groupBy(GENE).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).where("s > 1e-12")
+    z = settle(cells.join(usable, GENE).select(GENE, SAMPLE, ((F.col("value") - F.col("m")) / F.col("s")).alias("x")))
+    people = cells.groupBy(SAMPLE).agg(F.max("time").alias("time"), F.max("event").alias("event"))
+    blocks = ordered.block_order(people.select("time").distinct(), [], ["time"])
+    rows = settle(people.join(blocks, "time"))
+    n, genes = rows.count(), z.select(GENE).distinct().count()
+    l1, l2, dead, eta = alpha * l1_ratio, alpha * (1 - l1_ratio), F.col("event") == 1, F.col("eta")
+
+    def scores(beta: DataFrame) -> DataFrame:
+        used = z.join(beta.where("beta <> 0").select(GENE, "beta"), GENE).groupBy(SAMPLE).agg(F.sum(F.col("x") * F.col("beta")).alias("eta"))
+        return rows.join(used, SAMPLE, "left").withColumn("eta", F.coalesce("eta", F.lit(0.0)))
+
+    def evaluate(beta: DataFrame) -> tuple[float, DataFrame]:
+        """Loss, and the table with the gradient beside each coefficient."""
+        at = settle(scores(beta).withColumn("w", F.exp(eta)))
+        times = at.groupBy(ordered.BLOCK, "time").agg(
+            F.sum("w").alias("w0"), F.count_if(dead).alias("d"), F.sum(F.when(dead, F.col("w")).otherwise(0.0)).alias("d0"),
+            F.sum(F.when(dead, eta).otherwise(0.0)).alias("de"))
+        left = lambda f: F.col("s0") - f * F.col("d0")
+        each = lambda term: F.when(F.col("d") > 0, _efron(term, F.col("d"))).otherwise(0.0)
+        risk = ordered.scan(times, [], ["time"], {"s0": ("sum", "w0")}, reverse=True).select(
+            ordered.BLOCK, "time", each(lambda f: 1.0 / left(f)).alias("h"), each(lambda f: f / left(f)).alias("own"),
+            (F.col("de") - each(lambda f: F.log(left(f)))).alias("ll"))
+        curve = settle(ordered.scan(risk, [], ["time"], {"hazard": ("sum", "h")}))
+        loss = -(curve.agg(F.sum("ll")).first()[0] or 0.0) / max(n, 1)
+        kept = F.when(dead, 1.0 + F.col("w") * F.col("own")).otherwise(0.0) - F.col("w") * F.col("hazard")
+        residual = at.join(curve.select("time", "own", "hazard"), "time").select(SAMPLE, kept.alias("r"))
+        slope = z.join(residual, SAMPLE).groupBy(GENE).agg((-F.sum(F.col("x") * F.col("r")) / n).alias("slope"))
+        return loss, beta.join(slope, GENE)
+
+    def penalty(row) -> float:
+        return l1 * (row["size"] or 0.0) + l2 / 2 * (row["square"] or 0.0)
+
+    sizes = F.sum(F.abs("beta")).alias("size"), F.sum(F.col("beta") * F.col("beta")).alias("square")
+    loss, graded = evaluate(usable.select(GENE, F.lit(0.0).alias("beta")))
+    state, recent, step = settle(graded), [loss], 1.0 / max(genes, 1)
+    for _ in range(iterations if genes else 0):
+        raw = F.col("beta") - step * F.col("slope")
+        shrunk = F.signum(raw) * F.greatest(F.abs(raw) - step * l1, F.lit(0.0)) / (1.0 + step * l2)
+        moved = state.select(GENE, shrunk.alias("beta"), (shrunk - F.col("beta")).alias("move"), F.col("slope").alias("before"))
+        loss, graded = evaluate(moved)
+        graded = settle(graded)
+        turn = F.col("move") * (F.col("slope") - F.col("before"))
+        row = graded.agg(*sizes, F.sum(F.col("move") * F.col("move")).alias("far"), F.sum(turn).alias("turn"), F.max(F.abs("move")).alias("most")).first()
+        reached = loss + penalty(row)
+        # A loss that overflowed is not a number and fails the comparison as well.
+        if not reached <= max(recent[-5:]) - 1e-4 / (2 * step) * row["far"] + 1e-12:
+            step /= 2
+            continue
+        state = graded
+        recent.append(reached)
+        if row["most"] < tol:
+            break
+        step = min(row["far"] / row["turn"], 1e6) if row["turn"] > 0 else step * 2
+    coefs = cells.select(GENE).distinct().join(state.select(GENE, "beta"), GENE, "left").select(GENE, F.coalesce("beta", F.lit(0.0)).alias("coef"))
+    return coefs, scores(state).select(SAMPLE, "time", "event", F.round("eta", 9).alias("score"))
+
+
 def concordance_index(df: DataFrame) -> DataFrame:
     """Harrell's C of (time, event, score), higher score meaning earlier event.
 

@@ -166,23 +166,21 @@ def _linear(vectors: DataFrame, beta: np.ndarray) -> DataFrame:
     return vectors.select(SAMPLE, "time", "event", F.round(eta, 9).alias("score"))
 
 
-def cox_lasso_panel(cells: DataFrame, genes: Sequence, alpha: float = 0.1, l1_ratio: float = 1.0) -> dict[str, DataFrame]:
-    vectors = cut(_survival_vectors(cells, genes))
-    beta = survival.cox_fit(vectors, len(genes), alpha, l1_ratio)
-    kind = cells.schema[GENE].dataType.simpleString()
-    coefs = cells.sparkSession.createDataFrame([(g, float(b)) for g, b in zip(genes, beta)], f"{GENE} {kind}, coef double")
-    return {"panel": coefs.where(F.abs("coef") > 1e-8), "c_index": survival.concordance_index(_linear(vectors, beta))}
+def cox_lasso_panel(cells: DataFrame, alpha: float = 0.1, l1_ratio: float = 1.0) -> dict[str, DataFrame]:
+    """Genes with a weight in the penalised model over all genes of ``cells``, and its concordance."""
+    coefs, scores = survival.cox_lasso(cells, alpha, l1_ratio)
+    return {"panel": coefs.where(F.abs("coef") > 1e-8), "c_index": survival.concordance_index(cut(scores))}
 
 
 def survival_flow(cells: DataFrame, alpha: float = 0.1, fdr: float = 0.05) -> dict[str, DataFrame]:
     """Univariate screen, then a lasso panel over the significant genes (three or more needed)."""
     screen = cut(survival.cox_screen(cells.select(GENE, SAMPLE, "time", "event", "value"), fdr))
-    genes = [r[GENE] for r in screen.where("significant").orderBy("p_value", GENE).select(GENE).toLocalIterator()]
+    chosen = screen.where("significant")
     out = {"screen": screen}
-    if len(genes) >= 3:
-        out.update(cox_lasso_panel(cells, genes, alpha))
+    if chosen.limit(3).count() == 3:
+        out.update(cox_lasso_panel(cells.join(chosen.select(GENE), GENE, "left_semi"), alpha))
     else:
-        out["panel"] = screen.where("significant").select(GENE, "coef")
+        out["panel"] = chosen.select(GENE, "coef")
     return out
 
 
