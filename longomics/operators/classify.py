@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -140,5 +140,6 @@ def best_classifier(means: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 
 def select_features(vectors: DataFrame, keep: Sequence[int]) -> DataFrame:
-    arr = vector_to_array("features")
-    return vectors.withColumn("features", array_to_vector(F.array(*[arr[int(j)] for j in keep])))
+    """The vectors cut to the kept positions, in their order."""
+    kept = VectorSlicer(inputCol="features", outputCol="_kept", indices=[int(j) for j in keep]).transform(vectors)
+    return kept.drop("features").withColumnRenamed("_kept", "features")

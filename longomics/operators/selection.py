@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -47,16 +48,18 @@ def univariate_filter(values: DataFrame, n: int = 50, test: str = "welch") -> Da
     return scored(de.select(GENE, F.col("neg_log10p").alias("score")), "univariate_filter", n)
 
 
-def _vectors(values: DataFrame) -> tuple[DataFrame, list]:
+def _vectors(values: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Sample vectors, the (gene_id, j) positions behind them and their length."""
     positions = cut(classify.gene_positions(values))
-    names = [r[GENE] for r in positions.orderBy("j").toLocalIterator()]
-    return cut(classify.sample_matrix(values, positions)), names
+    return cut(classify.sample_matrix(values, positions)), positions, positions.count()
 
 
-def _frame(values: DataFrame, names: Sequence, scores: Sequence[float]) -> DataFrame:
-    kind = values.schema[GENE].dataType.simpleString()
-    return values.sparkSession.createDataFrame(
-        [(g, float(s)) for g, s in zip(names, scores)], f"{GENE} {kind}, score double")
+def _frame(positions: DataFrame, **columns: Sequence[float]) -> DataFrame:
+    """(gene_id, one column for each name) from numbers in vector order."""
+    rows = pd.DataFrame({"j": np.arange(len(next(iter(columns.values()))), dtype=np.int32)} | {
+        k: np.asarray(v, dtype=float) for k, v in columns.items()})
+    numbers = positions.sparkSession.createDataFrame(rows, "j int, " + ", ".join(f"{k} double" for k in columns))
+    return positions.join(numbers, "j").drop("j")
 
 
 def _standardised(vectors: DataFrame) -> DataFrame:
@@ -66,11 +69,11 @@ def _standardised(vectors: DataFrame) -> DataFrame:
 
 def lasso(values: DataFrame, alpha: float = 0.5, l1_ratio: float = 1.0, method: str = "lasso") -> DataFrame:
     """Absolute elastic-net logistic coefficients on standardised genes."""
-    vectors, names = _vectors(values)
+    vectors, positions, _ = _vectors(values)
     n = vectors.count()
     model = LogisticRegression(featuresCol="scaled", labelCol="y", regParam=alpha / n, elasticNetParam=l1_ratio,
                                standardization=False, maxIter=200).fit(_standardised(vectors))
-    return scored(_frame(values, names, np.abs(model.coefficients.toArray())), method)
+    return scored(_frame(positions, score=np.abs(model.coefficients.toArray())), method)
 
 
 def forest_importance(vectors: DataFrame, seed: int, trees: int = 100, depth: int = 5) -> np.ndarray:
@@ -98,21 +101,18 @@ def boruta(values: DataFrame, max_iter: int = 20, seed: int = 42, trees: int = 1
     Hits per gene are tested two-sided binomially with a Bonferroni factor; decided genes keep their
     status, rejected genes leave later rounds.
     """
-    vectors, names = _vectors(values)
-    p = len(names)
+    vectors, positions, p = _vectors(values)
     hits, status = np.zeros(p, int), np.zeros(p, int)
-    place, pos = places(values), cut(classify.gene_positions(values))
+    place = places(values)
     for it in range(1, max_iter + 1):
         active = np.flatnonzero(status >= 0)
         if len(active) == 0 or (status != 0).all():
             break
         dealt = shadows(values, place, it, seed)
-        shadow = classify.sample_matrix(dealt, pos).select(SAMPLE, F.col("features").alias("sh"))
-        both = cut(vectors.join(shadow, SAMPLE))
-        real, fake = vector_to_array("features"), vector_to_array("sh")
-        pick = lambda arr: F.array(*[arr[int(j)] for j in active])
-        joined = both.select("y", array_to_vector(F.concat(pick(real), pick(fake))).alias("features"))
-        imp = forest_importance(joined, seed + it, trees)
+        shadow = classify.sample_matrix(dealt, positions).select(SAMPLE, F.col("features").alias("sh"))
+        both = vectors.join(shadow, SAMPLE).select("y", array_to_vector(
+            F.concat(vector_to_array("features"), vector_to_array("sh"))).alias("features"))
+        imp = forest_importance(classify.select_features(cut(both), [*active, *(active + p)]), seed + it, trees)
         k = len(active)
         hits[active[imp[:k] > imp[k:].max()]] += 1
         for j in np.flatnonzero(status == 0):
@@ -120,9 +120,8 @@ def boruta(values: DataFrame, max_iter: int = 20, seed: int = 42, trees: int = 1
                 status[j] = 1 if hits[j] > it / 2 else -1
     rank = np.where(status == 1, 1, np.where(status == 0, 2, 3))
     importance = (rank.max() - rank + 1) / rank.max()
-    df = _frame(values, names, importance)
-    keep = _frame(values, names, (rank <= 2).astype(float)).select(GENE, (F.col("score") > 0).alias("selected"))
-    return df.join(keep, GENE).select(F.lit("boruta").alias("method"), GENE, "score", "selected")
+    df = _frame(positions, score=importance, kept=rank <= 2)
+    return df.select(F.lit("boruta").alias("method"), GENE, "score", (F.col("kept") > 0).alias("selected"))
 
 
 def mrmr(values: DataFrame, n: int = 20, floor: float = 0.001) -> DataFrame:
@@ -145,17 +144,18 @@ def mrmr(values: DataFrame, n: int = 20, floor: float = 0.001) -> DataFrame:
         corr = dense.join(small(last), SAMPLE).groupBy(GENE).agg(F.abs(F.coalesce(F.corr("value", "_v"), F.lit(0.0))).alias("c"))
         state = cut(state.join(corr, GENE).select(GENE, "f", (F.col("red") + F.nanvl("c", F.lit(0.0))).alias("red"), (F.col("k") + 1).alias("k")))
     order = {g: (n - i) / n for i, g in enumerate(picked)}
-    got = _frame(values, list(order), list(order.values()))
+    kind = values.schema[GENE].dataType.simpleString()
+    got = values.sparkSession.createDataFrame(list(order.items()), f"{GENE} {kind}, score double")
     every = values.select(GENE).distinct().join(got, GENE, "left")
     return scored(every.select(GENE, F.coalesce("score", F.lit(0.0)).alias("score")), "mrmr")
 
 
 def rfe(values: DataFrame, n: int = 20, step: float = 0.1, seed: int = 42, trees: int = 100) -> DataFrame:
     """Recursive elimination with a forest: kept genes 1 + scaled importance, dropped 1 / ranking."""
-    vectors, names = _vectors(values)
-    alive = np.arange(len(names))
-    n = min(n, len(names))
-    drop = max(1, int(step * len(names))) if step < 1 else int(step)
+    vectors, positions, p = _vectors(values)
+    alive = np.arange(p)
+    n = min(n, p)
+    drop = max(1, int(step * p)) if step < 1 else int(step)
     rounds: list[np.ndarray] = []
     while len(alive) > n:
         imp = forest_importance(classify.select_features(vectors, alive), seed, trees)
@@ -163,19 +163,18 @@ def rfe(values: DataFrame, n: int = 20, step: float = 0.1, seed: int = 42, trees
         rounds.append(alive[out])
         alive = np.delete(alive, out)
     imp = forest_importance(classify.select_features(vectors, alive), seed, trees)
-    score = np.zeros(len(names))
+    score = np.zeros(p)
     spread = imp.max() - imp.min()
     score[alive] = 1.0 + (imp - imp.min()) / spread if spread > 0 else 1.5
     for i, gone in enumerate(reversed(rounds)):
         score[gone] = 1.0 / (i + 2)
-    df = _frame(values, names, score)
+    df = _frame(positions, score=score)
     return df.select(F.lit("rfe").alias("method"), GENE, "score", (F.col("score") >= 1.0).alias("selected"))
 
 
 def shapley(values: DataFrame, n: int = 20, seed: int = 42, trees: int = 100, depth: int = 5) -> DataFrame:
     """Mean absolute exact Shapley values of a forest over all samples; genes that no tree uses score zero."""
-    positions = cut(classify.gene_positions(values))
-    vectors = cut(classify.sample_matrix(values, positions))
+    vectors, positions, _ = _vectors(values)
     model = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
     ranked = positions.join(treeshap.importances(model, vectors), "j", "left")
     return scored(ranked.select(GENE, F.coalesce("score", F.lit(0.0)).alias("score")), "shap", n)
@@ -351,7 +350,7 @@ def stability_selection(values: DataFrame, alphas: Sequence[float] = (0.01, 0.05
                         threshold: float = 0.6, seed: int = 42) -> DataFrame:
     """Share of half-sample lasso fits that keep each gene. A half-sample is the lower half of a seeded
     hash order, chosen per replicate; fits are submitted from driver threads."""
-    vectors, names = _vectors(values)
+    vectors, positions, _ = _vectors(values)
     n = vectors.count()
 
     def job(b: int):
@@ -368,7 +367,7 @@ def stability_selection(values: DataFrame, alphas: Sequence[float] = (0.01, 0.05
 
     runs = [k for part in classify.in_threads([job(b) for b in range(replicates)]) for k in part]
     freq = np.mean(runs, axis=0)
-    return _frame(values, names, freq).select(GENE, F.col("score").alias("selection_frequency"), (F.col("score") >= threshold).alias("is_stable"))
+    return _frame(positions, score=freq).select(GENE, F.col("score").alias("selection_frequency"), (F.col("score") >= threshold).alias("is_stable"))
 
 
 def selection_frequency(panels: DataFrame, universe: DataFrame) -> DataFrame:

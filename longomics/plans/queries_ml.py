@@ -46,17 +46,17 @@ def _(t):
 
 @query("select_lasso")
 def _(t):
-    return out(selection.lasso(cohort(t), 10.0, 1.0))
+    return out(selection.lasso(part_slots(t)))
 
 
 @query("select_elastic_net")
 def _(t):
-    return out(selection.lasso(cohort(t), 10.0, 0.5, "elastic_net"))
+    return out(selection.lasso(part_slots(t), l1_ratio=0.5, method="elastic_net"))
 
 
 @query("select_boruta")
 def _(t):
-    return out(selection.boruta(cohort(t), max_iter=3, trees=20))
+    return out(selection.boruta(part_slots(t)))
 
 
 @query("select_mrmr")
@@ -66,7 +66,7 @@ def _(t):
 
 @query("select_rfe")
 def _(t):
-    return out(selection.rfe(cohort(t), 10, 0.2, trees=20))
+    return out(selection.rfe(part_slots(t)))
 
 
 @query("select_shapley")

@@ -65,3 +65,13 @@ def test_intents():
     assert biomarkers.check_intent("diagnostic", ["expression", "group"])["minimum_samples"] == 30
     with pytest.raises(ValueError):
         biomarkers.check_intent("prognostic", ["expression"])
+
+
+def test_boruta_confirms_signal_and_vectors_are_cut_in_order(spark):
+    v = cohort(spark, 60, 15, 2, 9)
+    got = {r["gene_id"]: r["score"] for r in selection.boruta(v, max_iter=12, trees=30).collect()}
+    assert len(got) == 15 and got["g00"] == got["g01"] == 1.0
+    assert max(s for g, s in got.items() if g not in ("g00", "g01")) < 1.0
+    x = classify.sample_matrix(v, classify.gene_positions(v)).orderBy("sample_id").first()["features"]
+    kept = classify.select_features(classify.sample_matrix(v, classify.gene_positions(v)), [7, 2]).orderBy("sample_id").first()["features"]
+    assert list(kept.toArray()) == [x[7], x[2]]
