@@ -210,9 +210,10 @@ def title_scores(columns: DataFrame, titles: DataFrame, by: str = "dataset_id")
     left = c.select("*", keys(F.col("cb"), F.lower("column"), "c", "t").alias("k"))
     right = t.select("*", keys(F.col("tb"), F.col("tl"), "t", "c").alias("k"))
     short_l = c.where(F.length("cb").between(1, 2)).select(*c.columns)
-    pairs = left.join(right, [by, "k"]).drop("k")
-    tiny = short_l.join(t, by).where(F.col("tl").contains(F.col("cb")))
-    tiny_t = c.join(t.where(F.length("tb") < 3), by)
+    # Sizes are estimated from the files, before the trigrams: without the hint the driver would broadcast them all.
+    pairs = left.join(right.hint("merge"), [by, "k"]).drop("k")
+    tiny = short_l.join(t.hint("merge"), by).where(F.col("tl").contains(F.col("cb")))
+    tiny_t = c.join(t.where(F.length("tb") < 3).hint("merge"), by)
     pairs = pairs.unionByName(tiny).unionByName(tiny_t).dropDuplicates([by, "column", "sample_id"])
     hit = (F.col("cb") != "") & (F.col("tl").contains(F.col("cb")) | F.lower("column").contains(F.col("tb")))
     near = F.greatest(F.lit(0), 15 - F.abs(F.length("ts") - F.length("cb")))
@@ -224,7 +225,8 @@ def greedy_match(scores: DataFrame, by: str = "dataset_id") -> DataFrame:
     """One-to-one assignment taking the best remaining (score, column, sample) first.
 
     Equivalent to the sequential greedy pass: in every round all pairs that are the best of both
-    their column and their sample are fixed at once, then their rows and columns leave.
+    their column and their sample are fixed at once, then their rows and columns leave. The joins are merges:
+    a checkpoint keeps the size estimate of the files, by which every round would be broadcast by the driver.
     """
     rest = cut(scores.select(by, "column", "sample_id", F.struct("score", "column", "sample_id").alias("k")))
     fixed = None
@@ -232,12 +234,12 @@ def greedy_match(scores: DataFrame, by: str = "dataset_id") -> DataFrame:
         bc = rest.groupBy(by, "column").agg(F.max("k").alias("k"))
         bs = rest.groupBy(by, "sample_id").agg(F.max("k").alias("ks"))
         won = cut(bc.select(by, "column", "k", F.col("k.sample_id").alias("sample_id"))
-                  .join(bs, [by, "sample_id"]).where("k = ks").select(by, "column", "sample_id", F.col("k.score").alias("score")))
+                  .join(bs.hint("merge"), [by, "sample_id"]).where("k = ks").select(by, "column", "sample_id", F.col("k.score").alias("score")))
         if won.isEmpty():
             break
         fixed = won if fixed is None else fixed.unionByName(won)
-        rest = cut(rest.join(won.select(by, "column"), [by, "column"], "left_anti")
-                   .join(won.select(by, "sample_id"), [by, "sample_id"], "left_anti"))
+        rest = cut(rest.join(won.select(by, "column").hint("merge"), [by, "column"], "left_anti")
+                   .join(won.select(by, "sample_id").hint("merge"), [by, "sample_id"], "left_anti"))
     return fixed if fixed is not None else scores.select(by, "column", "sample_id", "score").where("false")
 
 
