@@ -5,9 +5,9 @@ import pytest
 from longomics.operators import moments
 
 
-@pytest.mark.parametrize("few", [3, 0])
+@pytest.mark.parametrize("few, plain", [(3, 0), (0, 0), (3, 1000)])
 @pytest.mark.parametrize("turned", [False, True])
-def test_fill_is_the_same_in_every_form(spark, monkeypatch, few, turned):
+def test_fill_is_the_same_in_every_form(spark, monkeypatch, few, plain, turned):
     # Two datasets, three short ids and ten long ones; nulls, a repeated cell and a cell of an unlisted sample.
     cells = [("a", i % 3 if not turned else i, i if not turned else i % 3, float(i)) for i in range(10) if i % 4]
     cells += [("b", 1, 1, 5.0), ("b", 1, 1, 7.0), ("b", 2, 1, None), ("b", None, 1, 3.0), ("b", 1, None, 4.0), (None, 1, 1, 2.0)]
@@ -20,8 +20,9 @@ def test_fill_is_the_same_in_every_form(spark, monkeypatch, few, turned):
                 found = [c[3] for c in cells if c[:3] == (d, s, g) and c[3] is not None]
                 want[d, g, s] = max(found, default=0.0)
     monkeypatch.setattr(moments, "FEW", few)
+    monkeypatch.setattr(moments, "PLAIN_CELLS", plain)
     filled = moments.densify(df, samples=samples)
     got = [((r["dataset_id"], r["gene_id"], r["sample_id"]), r["count"]) for r in filled.collect()]
     assert len(got) == len(want) and dict(got) == want
-    if few:
+    if few and not plain:
         assert "_k" not in filled._jdf.queryExecution().optimizedPlan().toString()
