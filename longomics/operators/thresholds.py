@@ -8,21 +8,24 @@ multiplied by the grid.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ordered
 from .compare import ratio
-from ..runtime import cut, small
+from ..runtime import cut, settle, small
 
 # Parameter bounds and the lambda grid of the null-proportion estimate.
 ALPHA_BOUNDS = (0.001, 0.20)
 LFC_BOUNDS = (0.0, 2.0)
 LAMBDAS = [round(0.05 * i, 2) for i in range(1, 19)]
+# Sets of draws whose shared counts a task holds before it hands them on.
+HELD = 64
 
 Params = Sequence[tuple[float, float]]
 
@@ -143,13 +146,40 @@ def reproducibility_trials(first: DataFrame, second: DataFrame, params: Params,
                     (F.col("n_second") - F.col("n_both")).alias("cohort2_unique"), ratio(F.col("n_both"), union).alias("score"))
 
 
+def shared_counts(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """Per set of draws and replicate, how many genes it shares with every replicate, summed over the rows of the task."""
+    held: dict[int, np.ndarray] = {}
+
+    def release() -> pa.RecordBatch:
+        ids = np.repeat(np.array(list(held), dtype=np.int64), replicates)
+        rows = [row for m in held.values() for row in m]
+        out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(replicates, dtype=np.int32), len(held))),
+                                          pa.array(rows, pa.list_(pa.float64()))], names=["_id", "b", "shared"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        ids, lists = batch.column("_id").to_numpy(zero_copy_only=False), batch.column("bs")
+        owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        member = np.zeros((len(ids), replicates))
+        np.add.at(member, (owner, lists.flatten().to_numpy(zero_copy_only=False)), 1.0)
+        for i in np.unique(ids):
+            mine = member[ids == i]
+            held[int(i)] = held.get(int(i), 0.0) + mine.T @ (mine > 0)
+            if len(held) >= HELD:
+                yield release()
+    if held:
+        yield release()
+
+
 def stability_trials(de: DataFrame, params: Params, by: Sequence[str], replicates: int = 100, seed: int = 42) -> DataFrame:
     """Mean pairwise Jaccard of perturbed gene sets (drop a tenth, add as many at random).
 
-    Every replicate orders genes by a seeded hash. Genes of the base set meet all replicates. Of the others only those
-    whose hash lies below a level go on, which holds the few that are added but for odds of about 1e-20 a replicate, so
-    what is shuffled does not follow the number of genes; an exact rank then picks them. A gene's memberships over the
-    replicates form one vector; the replicate-by-replicate intersection counts are sums of its outer product.
+    Every replicate orders genes by a seeded hash; the first ``v`` go or come. Hashes well below the level that holds
+    ``v`` of them are in, those well above it out, without a rank: only the band between is ranked, about the root of the
+    genes. The counts below and inside the band are checked, and if a band misses its place (ids that repeat very often)
+    all are ranked. A gene's memberships over the replicates form one vector; the replicate-by-replicate intersection
+    counts are sums of outer products, made inside the tasks.
     """
     points = F.array(*[F.struct(F.lit(i).alias("iteration"), F.lit(a).alias("alpha"), F.lit(c).alias("lfc"))
                        for i, (a, c) in enumerate(params)])
@@ -159,39 +189,73 @@ def stability_trials(de: DataFrame, params: Params, by: Sequence[str], replicate
     keys = [*by, "iteration"]
     size = rows.groupBy(*keys).agg(F.count_if("base").alias("n"), F.count(F.lit(1)).alias("all"))
     vary = F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
-    size = cut(size.select(*keys, "n", "all", vary.alias("v")))
-    placed = rows.join(small(size.where("n > 0")), keys)
-    place = lambda b: F.pmod(F.xxhash64("gene_id", b, F.lit(seed + 7919)), F.lit(1 << 52)) / float(1 << 52)
-    every = F.sequence(F.lit(0), F.lit(replicates - 1))
-    level = (F.col("v") + 10.0 * F.sqrt("v") + 60.0) / F.greatest(F.col("all") - F.col("n"), F.lit(1))
-    group = [*keys, "b"]
-    hashed = placed.where("base").withColumn("b", F.explode(every)).select(
-        *group, "gene_id", "n", "v", F.xxhash64("gene_id", "b", F.lit(seed)).alias("h1"), place(F.col("b")).alias("h2"))
-    inside = ordered.row_numbers(hashed, group, ["h1", "gene_id"], "r1")
-    gone = (F.col("n") > F.col("v")) & (F.col("r1") <= F.col("v"))
-    wanted = [*group, "gene_id", "h2", "v"]
-    drawn = placed.where("NOT base").withColumn("x", F.explode(F.filter(
-        F.transform(every, lambda b: F.struct(b.alias("b"), place(b).alias("h2"))), lambda x: x["h2"] < level)))
-    candidates = drawn.select(*keys, "x.b", "gene_id", "x.h2", "v").unionByName(inside.where(gone).select(*wanted))
-    added = ordered.row_numbers(candidates, group, ["h2", "gene_id"], "r2").where("r2 <= v")
-    members = inside.where(~gone).select(*group, "gene_id").unionByName(added.select(*group, "gene_id"))
-    vectors = (members.groupBy(*keys, "gene_id")
-               .agg(F.collect_list("b").alias("bs")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda i: F.array_contains("bs", i).cast("double"))
-    rows_of = vectors.select(*keys, dense.alias("m"), F.explode("bs").alias("b"))
-    gram = rows_of.groupBy(*keys, "b").agg(Summarizer.sum(array_to_vector("m")).alias("s"))
-    gram = gram.select(*keys, "b", vector_to_array("s").alias("shared")).withColumn("own", F.element_at("shared", F.col("b") + 1))
-    sizes = gram.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "own"))).alias("sizes"))
-    j = gram.join(sizes, keys)
+    pool = F.col("all") - F.col("n") + F.when(F.col("n") > vary, vary).otherwise(0)
+    size = cut(size.select(*keys, "n", "all", vary.alias("v"), pool.alias("pool"), F.monotonically_increasing_id().alias("_id")))
+    drawn = size.where("n > 0")
+    members = _perturbed(rows, drawn, keys, replicates, seed, False)
+    members = _perturbed(rows, drawn, keys, replicates, seed, True) if members is None else members
+    gram = members.mapInArrow(lambda batches: shared_counts(batches, replicates), "_id long, b int, shared array<double>")
+    gram = gram.groupBy("_id", "b").agg(Summarizer.sum(array_to_vector("shared")).alias("s"))
+    gram = gram.select("_id", "b", vector_to_array("s").alias("shared")).withColumn("own", F.element_at("shared", F.col("b") + 1))
+    sizes = gram.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("b", "own"))).alias("sizes"))
+    j = gram.join(sizes, "_id")
     total = F.aggregate(F.zip_with("shared", "sizes", lambda s, o: F.when(
         o["b"] > F.col("b"), s / (F.col("own") + o["own"] - s)).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
     pairs = replicates * (replicates - 1) / 2.0
-    scored = j.groupBy(*keys).agg((F.sum(total) / pairs).alias("score"))
-    named = size.join(scored, keys, "left").withColumn("g", F.element_at(points, F.col("iteration") + 1))
+    scored = j.groupBy("_id").agg((F.sum(total) / pairs).alias("score"))
+    named = size.join(scored, "_id", "left").withColumn("g", F.element_at(points, F.col("iteration") + 1))
     return named.select(*keys, F.col("g.alpha").alias("alpha"), F.col("g.lfc").alias("lfc"),
                         F.col("n").alias("n_significant"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _perturbed(rows: DataFrame, size: DataFrame, keys: list[str], replicates: int, seed: int, whole: bool) -> DataFrame | None:
+    """(_id, bs): the replicates that hold each gene. With ``whole`` all hashes are ranked; else None if a band fails."""
+    infinite = F.lit(float("inf"))
+    slack = 10.0 * F.sqrt("v") + 60.0
+    part = lambda sign, of: F.lit(sign) * infinite if whole else (F.col("v") + F.lit(sign) * slack) / F.greatest(of, F.lit(1))
+    scale = lambda x: F.when(F.col("n") > F.col("v"), x * 2.0**64 - 2.0**63).otherwise(-infinite)
+    size = size.select(*keys, "_id", "n", "v", "pool", scale(part(-1, F.col("n"))).alias("lo1"), scale(part(1, F.col("n"))).alias("hi1"),
+                       part(-1, F.col("pool")).alias("lo2"), part(1, F.col("pool")).alias("hi2"))
+    place = lambda b: F.pmod(F.xxhash64("gene_id", b, F.lit(seed + 7919)), F.lit(1 << 52)) / float(1 << 52)
+    every, none = F.sequence(F.lit(0), F.lit(replicates - 1)), F.array().cast("array<int>")
+    first = F.when(F.col("base"), F.transform(every, lambda b: F.struct(b.alias("b"), F.xxhash64("gene_id", b, F.lit(seed)).alias("h1"))))
+    placed = rows.join(small(size), keys).withColumn("x", first)
+    number = lambda xs: F.transform(xs, lambda x: x["b"])
+    placed = placed.select("_id", "gene_id", "base", "lo2", "hi2",
+                           F.coalesce(number(F.filter("x", lambda x: x["h1"] >= F.col("hi1"))), none).alias("kept"),
+                           F.filter("x", lambda x: (x["h1"] >= F.col("lo1")) & (x["h1"] < F.col("hi1"))).alias("band"),
+                           F.coalesce(number(F.filter("x", lambda x: x["h1"] < F.col("lo1"))), none).alias("gone"))
+    free = F.transform(F.when(F.col("base"), F.col("gone")).otherwise(every), lambda b: F.struct(b.alias("b"), place(b).alias("h2")))
+    coded = settle(placed.select("_id", "gene_id", "lo2", "kept", "band", "gone", F.filter(free, lambda x: x["h2"] < F.col("hi2")).alias("free")))
+
+    def ranked(band: DataFrame, sure: DataFrame, order: str, least: Column) -> tuple[DataFrame, bool]:
+        """``band`` with ``inside``, true for those of the first ``v``; whether the band holds the place."""
+        group = ["_id", "b"]
+        below = cut(sure.groupBy(*group).agg(F.count(F.lit(1)).alias("below")))
+        band = cut(ordered.row_numbers(band, group, [order, "gene_id"], "_r"))
+        spans = size.withColumn("b", F.explode(every)).join(below, group, "left").join(
+            band.groupBy(*group).agg(F.count(F.lit(1)).alias("more")), group, "left").fillna(0, ["below", "more"])
+        holds = spans.where((F.col("below") > F.col("v")) | (F.col("below") + F.col("more") < least)).isEmpty()
+        left = band.join(spans.select(*group, "v", "below", "lo2", "hi2"), group)
+        return left.select(*group, "gene_id", order, "lo2", "hi2", (F.col("_r") <= F.col("v") - F.col("below")).alias("inside")), holds
+
+    going, holds = ranked(coded.select("_id", "gene_id", F.explode("band").alias("e")).select("_id", "gene_id", "e.*"),
+                          coded.select("_id", F.explode("gone").alias("b")), "h1", F.when(F.col("n") > F.col("v"), F.col("v")).otherwise(0))
+    if not holds:
+        return None
+    left = going.where("inside").withColumn("h2", place(F.col("b"))).where("h2 < hi2")
+    free = coded.select("_id", "gene_id", "lo2", F.explode("free").alias("e")).select("_id", "e.b", "gene_id", "e.h2", "lo2").unionByName(
+        left.select("_id", "b", "gene_id", "h2", "lo2"))
+    coming, holds = ranked(free.where("h2 >= lo2").drop("lo2"), free.where("h2 < lo2"), "h2", F.least("v", "pool"))
+    if not holds:
+        return None
+    one = lambda df: df.select("_id", "gene_id", F.array("b").alias("bs"))
+    sure = coded.select("_id", "gene_id", F.concat("kept", number(F.filter("free", lambda x: x["h2"] < F.col("lo2")))).alias("bs"))
+    parts = sure.where(F.size("bs") > 0).unionByName(one(going.where("NOT inside"))).unionByName(
+        one(left.where("h2 < lo2"))).unionByName(one(coming.where("inside")))
+    return parts.groupBy("_id", "gene_id").agg(F.flatten(F.collect_list("bs")).alias("bs")).select("_id", "bs")
+
+
 def best_trial(trials: DataFrame, by: Sequence[str]) -> DataFrame:
     """First trial with the highest score."""
     top = F.max_by(F.struct("iteration", "alpha", "lfc", "score"), F.struct("score", -F.col("iteration")))
