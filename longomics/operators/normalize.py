@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ordered
 from .moments import DS, GENE, SAMPLE, densify, sample_totals, zero_blocks
+from ..runtime import cut
 
 
 def log2p1(counts: DataFrame, value: str = "count") -> DataFrame:
@@ -67,16 +72,23 @@ def quantile_normalise_interpolated(counts: DataFrame) -> DataFrame:
 def median_centre(counts: DataFrame, study: str = "study") -> DataFrame:
     """Shift each study's per-gene log2 median to the gene's overall median; back-transform, clip 0.
 
-    ``counts`` is dense in (gene, sample) and carries the study column. Both medians group at most
-    one dataset's samples, so the built-in exact percentile applies.
+    ``counts`` is dense in (gene, sample) and carries the study column. Both medians are read at their positions in
+    windows over one gene's samples: the cells are made and shuffled by gene once, and no group holds a map of values.
     """
-    logged = counts.withColumn("_l", F.log2(F.col("count") + 1.0))
-    overall = logged.groupBy(DS, GENE).agg(F.percentile("_l", F.lit(0.5)).alias("_all"))
-    own = logged.groupBy(DS, GENE, study).agg(F.percentile("_l", F.lit(0.5)).alias("_own"))
-    shift = own.join(overall, [DS, GENE]).select(DS, GENE, study, (F.col("_all") - F.col("_own")).alias("_shift"))
-    return (logged.join(shift, [DS, GENE, study])
-            .select(DS, GENE, SAMPLE, study,
-                    F.greatest(F.pow(F.lit(2.0), F.col("_l") + F.col("_shift")) - 1.0, F.lit(0.0)).alias("value")))
+    logged = counts.where(F.col(DS).isNotNull() & F.col(GENE).isNotNull()).withColumn("_l", F.log2(F.col("count") + 1.0))
+    both = _median(_median(logged, [DS, GENE], "_all"), [DS, GENE, study], "_own").where(F.col(study).isNotNull())
+    return both.select(DS, GENE, SAMPLE, study, F.greatest(
+        F.pow(F.lit(2.0), F.col("_l") + (F.col("_all") - F.col("_own"))) - 1.0, F.lit(0.0)).alias("value"))
+
+
+def _median(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Rows with the median of ``_l`` in their group; nulls do not count."""
+    group = Window.partitionBy(*by)
+    ordered_rows = group.orderBy(F.col("_l").asc_nulls_last())
+    whole = ordered_rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.withColumns({"_r": F.row_number().over(ordered_rows) * 2, "_n": F.count("_l").over(whole)})
+    middle = F.when(F.col("_r").between(F.col("_n"), F.col("_n") + 2), F.col("_l"))
+    return placed.withColumn(out, F.avg(middle).over(group)).drop("_r", "_n")
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
@@ -101,16 +113,36 @@ def median_ratio(counts: DataFrame) -> DataFrame:
             .select(DS, GENE, SAMPLE, (F.col("count") / usable).alias("value")))
 
 
+def posterior(n: pd.Series, g: pd.Series, d: pd.Series, g_bar: pd.Series, t2: pd.Series, a_prior: pd.Series,
+              b_prior: pd.Series, iterations: int, tol: float) -> pd.DataFrame:
+    """Posterior location ``gs`` and scale ``ds`` of each row; a row that has settled moves no more."""
+    n, g, d, g_bar, t2, a_prior, b_prior = (c.to_numpy(dtype=float) for c in (n, g, d, g_bar, t2, a_prior, b_prior))
+    gs, ds, open_ = g.copy(), d.copy(), np.arange(len(g))
+    with np.errstate(all="ignore"):
+        for _ in range(iterations):
+            if not len(open_):
+                break
+            k, g0, d0 = n[open_], g[open_], d[open_]
+            old_g, old_d = gs[open_], ds[open_]
+            new_g = (k * t2[open_] * g0 + old_d * g_bar[open_]) / (k * t2[open_] + old_d + 1e-300)
+            # Sum of squares about a moving location: sum (z - g*)^2 = (n - 1) d + n (g - g*)^2.
+            sums = (k - 1) * d0 + k * (g0 - new_g) * (g0 - new_g)
+            new_d = (0.5 * sums + b_prior[open_]) / (k / 2.0 + a_prior[open_] - 1.0)
+            gs[open_], ds[open_] = new_g, new_d
+            open_ = open_[~(np.maximum(np.abs(new_g - old_g), np.abs(new_d - old_d)) < tol)]
+    return pd.DataFrame({"gs": gs, "ds": ds})
+
+
 def combat(counts: DataFrame, batch: str = "study", iterations: int = 100, tol: float = 1e-4) -> DataFrame:
     """Parametric empirical-Bayes batch adjustment (Johnson, Li and Rabinovic 2007).
 
     Location and scale per (gene, batch), hyper-priors per batch, then the coupled posterior means
-    iterated per (gene, batch) inside one Spark array ``aggregate`` expression: the iteration of a
-    gene needs only that gene's batch mean, spread and count, never its values.
+    iterated for a batch of (gene, batch) rows at a time: the iteration of a gene needs only that gene's
+    batch mean, spread and count, never its values.
     """
     cells = counts.withColumn("v", F.col("count").cast("double"))
-    per_batch = cells.groupBy(DS, GENE, batch).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("vp"))
+    per_batch = cut(cells.groupBy(DS, GENE, batch).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("vp")))
     gene = per_batch.groupBy(DS, GENE).agg(
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
         (F.sum(F.col("n") * F.col("vp")) / F.sum("n")).alias("pooled"))
@@ -127,19 +159,11 @@ def combat(counts: DataFrame, batch: str = "study", iterations: int = 100, tol:
                          ((2 * s2 + F.col("d_bar") ** 2) / s2).alias("a_prior"),
                          ((F.col("d_bar") * s2 + F.col("d_bar") ** 3) / s2).alias("b_prior"))
     joined = std.join(prior, [DS, batch])
-    # Sum of squares about a moving location: sum (z - g*)^2 = (n - 1) d + n (g - g*)^2.
-    start = F.struct(F.col("g").alias("gs"), F.col("d").alias("ds"), F.lit(False).alias("done"))
-
-    def step(state, _):
-        gs = ((F.col("n") * F.col("t2") * F.col("g") + state["ds"] * F.col("g_bar"))
-              / (F.col("n") * F.col("t2") + state["ds"] + F.lit(1e-300)))
-        sums = (F.col("n") - 1) * F.col("d") + F.col("n") * (F.col("g") - gs) * (F.col("g") - gs)
-        ds = (0.5 * sums + F.col("b_prior")) / (F.col("n") / 2.0 + F.col("a_prior") - 1.0)
-        moved = F.greatest(F.abs(gs - state["gs"]), F.abs(ds - state["ds"])) < tol
-        return F.when(state["done"], state).otherwise(
-            F.struct(gs.alias("gs"), ds.alias("ds"), moved.alias("done")))
-
-    fitted = joined.withColumn("fit", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step))
+    inputs = ["n", "g", "d", "g_bar", "t2", "a_prior", "b_prior"]
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in inputs])
+    fit = F.pandas_udf(lambda *columns: posterior(*columns, iterations, tol), "gs double, ds double")
+    solved = joined.withColumn("fit", fit(*[F.col(c).cast("double") for c in inputs]))
+    fitted = solved.withColumn("fit", F.when(known, F.col("fit")))
     fitted = fitted.select(DS, GENE, batch, "grand", "sd", "fit.gs", "fit.ds")
     z = (F.col("v") - F.col("grand")) / F.col("sd")
     adjusted = (z - F.col("gs")) / F.sqrt(F.greatest("ds", F.lit(1e-12))) * F.col("sd") + F.col("grand")
