@@ -191,7 +191,7 @@ def stability_trials(de: DataFrame, params: Params, by: Sequence[str], replicate
     vary = F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
     pool = F.col("all") - F.col("n") + F.when(F.col("n") > vary, vary).otherwise(0)
     size = cut(size.select(*keys, "n", "all", vary.alias("v"), pool.alias("pool"), F.monotonically_increasing_id().alias("_id")))
-    drawn = size.where("n > 0")
+    drawn = size.where("n > 0").dropna(subset=keys)
     members = _perturbed(rows, drawn, keys, replicates, seed, False)
     members = _perturbed(rows, drawn, keys, replicates, seed, True) if members is None else members
     gram = members.mapInArrow(lambda batches: shared_counts(batches, replicates), "_id long, b int, shared array<double>")

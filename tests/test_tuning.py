@@ -63,3 +63,10 @@ def test_only_hashes_near_the_level_are_ranked(spark, monkeypatch, repeated):
     assert (got.n_significant, got.score) == (3000, pytest.approx(plain_score(rows, hashes), rel=1e-12))
     if not repeated:
         assert sum(ranked) < 3000 * REPLICATES
+
+
+def test_rows_without_a_contrast_have_no_score(spark):
+    rows = [(c, f"g{k}", 0.01 * k, 1.0) for c in ("c", None) for k in range(40)]
+    de = spark.createDataFrame(rows, "contrast_id string, gene_id string, p_value double, log2fc double")
+    got = {r.contrast_id: (r.n_significant, r.score) for r in thresholds.stability_trials(de, [(0.2, 0.0)], ["contrast_id"], REPLICATES, SEED).collect()}
+    assert got[None] == (20, 0.0) and got["c"][0] == 20 and got["c"][1] > 0.5
