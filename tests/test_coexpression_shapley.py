@@ -67,6 +67,26 @@ def test_edges_are_bounded_and_mutual(spark):
     assert {(r["a"], r["b"]) for r in got} == want
 
 
+@pytest.mark.parametrize("rows, blocks", [(1, 2), (3, 100)])
+def test_a_meeting_hands_on_the_best_of_its_own_genes_only(spark, monkeypatch, rows, blocks):
+    x = np.vstack([planted(50), planted(50)])  # copies tie
+    w = np.round(np.clip((1 + np.corrcoef(x)) / 2, 0, 1) ** 6, 12)
+    np.fill_diagonal(w, -1.0)
+    near = [set(sorted(range(100), key=lambda o: (-w[g, o], o))[:5]) for g in range(100)]
+    monkeypatch.setattr(coexpression, "ROWS", rows)
+    monkeypatch.setattr(coexpression, "SPAN", blocks)
+    got = coexpression.adjacency(expression(spark, x), 6, neighbours=5, size=9).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(100) for b in near[a] if a < b and a in near[b]}
+    z = (x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) * np.sqrt(x.shape[1]))
+    monkeypatch.setattr(coexpression, "PENDING", 50)
+    nearest = coexpression.Nearest(z[:30], np.arange(30), 5, 6)
+    for at in range(0, 100, 9):
+        nearest.meet(z[at:at + 9], np.arange(at, min(at + 9, 100)))
+    nearest.merge()
+    assert len(nearest.held[0]) == 30 * 5
+    assert [set(nearest.held[1][nearest.held[0] == g]) for g in range(30)] == near[:30]
+
+
 def test_ties_repeats_and_constant_genes(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(3, 20))
