@@ -1,7 +1,9 @@
 """Two tokenizers side by side: each distinct text is encoded and aligned once, counts are weighted by its multiplicity.
 
 Rows are shuffled by their full text and counted. Every distinct text is encoded by both vocabularies, the byte ranges
-of the tokens are laid over each other, and its distinct linked pairs of ids are written with their uses. A pair's count
+of the tokens are laid over each other, and its distinct linked pairs of ids are written with their uses. Both sides cut
+a text at the spaces in it, so a worker encodes and aligns a segment between two such spaces once and adds segments up;
+the number of segments it keeps is bounded. A pair's count
 is the sum of the multiplicities of the texts that hold it. The ``head`` most frequent pairs (a fixed number, so the
 size is bounded) go to the tasks as sorted arrays; only the uses of rarer pairs are joined. The measures of the texts
 are then joined to the rows by digest. At most ``HOT`` texts can make up more than one part in ``HOT`` of the rows;
@@ -15,7 +17,9 @@ result; other columns are not read; very long texts are aligned whole, one at a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,10 @@ from ..runtime import cut, scratch_path
 
 HEAD, HOT, CHUNK, FLUSH = 1 << 20, 1000, 1 << 19, 1 << 21
 _CODERS: dict[str, tuple] = {}
+# A space between characters that neither vocabulary joins across: where both sides cut a text in any case.
+BORDER = re.compile(r"(?<=\S) (?=[!-~]|[^\W_])")
+KEPT, KEPT_CHARS = 1 << 19, 1 << 23
+_SEGMENTS: dict[tuple[str, str], Segments] = {}
 
 
 def byte_values() -> dict[str, int]:
@@ -38,7 +46,10 @@ def byte_values() -> dict[str, int]:
 
 
 class Coder:
-    """Ids of texts and the bytes of every id. ``.json`` is byte-level BPE, ``.model`` pieces with byte fallback."""
+    """Ids of texts and the bytes of every id. ``.json`` is byte-level BPE, ``.model`` pieces with byte fallback.
+
+    ``cuts``: no token reaches over a ``BORDER``, so the stretches between them can be encoded one by one.
+    """
 
     def __init__(self, path: str):
         self.pieces = path.endswith(".model")
@@ -46,10 +57,15 @@ class Coder:
             self.coder = sentencepiece.SentencePieceProcessor(model_file=path)
             names = [self.coder.id_to_piece(k) for k in range(self.coder.get_piece_size())]
             self.bytes = [bytes([int(p[3:5], 16)]) if self.coder.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+            self.cuts = not any(re.search("[^▁]▁", p) for p in names)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self.coder = Tokenizer.from_file(path)
             self.coder.encode_special_tokens = True
+            plan = json.loads(self.coder.to_str())
+            split = plan["pre_tokenizer"] or {}
+            self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and plan["normalizer"] is None
+                         and all(t["special"] for t in plan["added_tokens"]))
             values = byte_values()
             vocabulary = self.coder.get_vocab(with_added_tokens=True)
             self.bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -107,40 +123,115 @@ def group_text(a: Coder, b: Coder, ids_a: np.ndarray, ids_b: np.ndarray, group_a
     return cells[cells != 0]
 
 
-def align(texts: list[str], a: Coder, b: Coder) -> list[tuple]:
-    """Per text: n_a, n_b, n_groups, n_links, digest of the groups, linked id pairs (distinct) and their uses."""
+def lay(texts: list[str], a: Coder, b: Coder) -> tuple[np.ndarray, ...]:
+    """Of the texts that both sides give back: places, n_a, n_b, n_groups, n_links; then of all these texts one after
+    the other: linked id pairs, the groups' text and where the text of each ends."""
     raw = [t.encode() for t in texts]
     all_a, all_b = a.encode(texts), b.encode(texts)
-    empty = (0, 0, 0, 0, "", np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    out: list[tuple] = [empty] * len(texts)
     good = [k for k, t in enumerate(raw) if t and b"".join([a.bytes[i] for i in all_a[k]]) == b" " + t
             and b"".join([b.bytes[i] for i in all_b[k]]) == b" " + t]
     if not good:
-        return out
+        return (*[np.zeros(0, np.int64)] * 5, np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
     ids_a = np.concatenate([np.asarray(all_a[k], np.int64) for k in good])
     ids_b = np.concatenate([np.asarray(all_b[k], np.int64) for k in good])
     n_a, n_b = (np.array([len(x[k]) for k in good]) for x in (all_a, all_b))
     at_a, at_b, both = overlaps(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]))
     # Every text ends with both sides, so links of a text and groups of a text are stretches of the whole.
     end_link = np.searchsorted(at_a, np.cumsum(n_a), side="left")
-    n_links = np.diff(end_link, prepend=0)
     group = np.cumsum(both) - both
     end_group = np.concatenate(([0], np.cumsum(both)))[end_link]
-    n_groups = np.diff(end_group, prepend=0)
     first_a = np.flatnonzero(np.diff(at_a, prepend=-1))
     first_b = np.flatnonzero(np.diff(at_b, prepend=-1))
-    group_a, group_b = group[first_a], group[first_b]
-    text = group_text(a, b, ids_a, ids_b, group_a, group_b)
-    end_text = np.flatnonzero(text == ord(";"))[end_group - 1]
+    text = group_text(a, b, ids_a, ids_b, group[first_a], group[first_b])
     pairs = (ids_a[at_a].astype(np.uint64) << np.uint64(32)) | ids_b[at_b].astype(np.uint64)
-    low, start_text = 0, 0
+    return (np.array(good), n_a, n_b, np.diff(end_group, prepend=0), np.diff(end_link, prepend=0), pairs, text,
+            np.flatnonzero(text == ord(";"))[end_group - 1])
+
+
+def row(counts: np.ndarray, text: bytes, pairs: np.ndarray) -> tuple:
+    """Row of one text: its four counts, digest of the groups, linked id pairs (distinct) and their uses."""
+    own = np.sort(pairs)
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return (*counts.tolist(), hashlib.sha256(text).hexdigest(), own[begin], np.diff(begin, append=len(own)))
+
+
+EMPTY = (0, 0, 0, 0, "", np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def align_whole(texts: list[str], a: Coder, b: Coder) -> list[tuple]:
+    """Rows of texts that are encoded from end to end."""
+    out: list[tuple] = [EMPTY] * len(texts)
+    good, *counts, pairs, text, end_text = lay(texts, a, b)
+    low, start = 0, 0
     for k, i in enumerate(good):
-        own = np.sort(pairs[low:end_link[k]])
-        low = end_link[k]
-        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        digest = hashlib.sha256(text[start_text:end_text[k]].tobytes()).hexdigest()
-        start_text = end_text[k] + 1
-        out[i] = (int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]), digest, own[begin], np.diff(begin, append=len(own)))
+        own = np.array([c[k] for c in counts])
+        out[i] = row(own, text[start:end_text[k]].tobytes(), pairs[low:low + own[3]])
+        low, start = low + own[3], end_text[k] + 1
+    return out
+
+
+class Segments:
+    """The stretches between borders met so far, each encoded and aligned once."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.names: list[bytes] = []
+        self.size = 0
+        self.n_pairs = 0
+        # Counts and place of the first pair (-1: not given back) of every segment; both arrays have room to grow.
+        self.counts, self.pairs = np.zeros((1 << 12, 5), np.int64), np.zeros(1 << 12, np.uint64)
+
+    def add(self, new: list[str], a: Coder, b: Coder) -> None:
+        good, *counts, pairs, text, end_text = lay(new, a, b)
+        have, n = len(self.names), len(new)
+        self.number.update(zip(new, range(have, have + n)))
+        self.size += sum(map(len, new))
+        names, data, start = [b""] * n, text.tobytes(), 0
+        for i, end in zip(good.tolist(), end_text.tolist()):
+            names[i], start = data[start:end], end + 1
+        self.names += names
+        while len(self.counts) < have + n:
+            self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
+        while len(self.pairs) < self.n_pairs + len(pairs):
+            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
+        more = self.counts[have:have + n]
+        more[:, 4] = -1
+        more[good, :4] = np.column_stack(counts)
+        more[good, 4] = self.n_pairs + np.cumsum(counts[3]) - counts[3]
+        self.pairs[self.n_pairs:self.n_pairs + len(pairs)] = pairs
+        self.n_pairs += len(pairs)
+
+
+def align(texts: list[str], a: Coder, b: Coder, kept: Segments | None = None) -> list[tuple]:
+    """Per text: n_a, n_b, n_groups, n_links, digest of the groups, linked id pairs (distinct) and their uses.
+
+    Both sides cut at every border, so the measures of a text add up from its segments. A text with a segment that a
+    side does not give back is encoded from end to end.
+    """
+    if not (a.cuts and b.cuts):
+        return align_whole(texts, a, b)
+    kept = Segments() if kept is None else kept
+    parts = [BORDER.split(t) for t in texts]
+    if new := [s for s in dict.fromkeys(s for p in parts for s in p) if s not in kept.number]:
+        kept.add(new, a, b)
+    number = kept.number
+    at = np.array([number[s] for p in parts for s in p], np.int64)
+    ends = np.cumsum([len(p) for p in parts])
+    starts = ends - [len(p) for p in parts]
+    own = kept.counts[at]
+    links = own[:, 3]
+    up_to = np.concatenate(([0], np.cumsum(links)))
+    pairs = kept.pairs[np.repeat(own[:, 4] - up_to[:-1], links) + np.arange(up_to[-1])]
+    good = np.minimum.reduceat(own[:, 4], starts) >= 0 if len(texts) else np.zeros(0, bool)
+    sums = np.add.reduceat(own[:, :4], starts) if len(texts) else own[:, :4]
+    places, names = at.tolist(), kept.names
+    out: list[tuple] = [EMPTY] * len(texts)
+    for k in np.flatnonzero(good):
+        lo, hi = starts[k], ends[k]
+        out[k] = row(sums[k], b";".join([names[i] for i in places[lo:hi]]), pairs[up_to[lo]:up_to[hi]])
+    whole = np.flatnonzero(~good).tolist()
+    for k, found in zip(whole, align_whole([texts[k] for k in whole], a, b) if whole else []):
+        out[k] = found
     return out
 
 
@@ -174,7 +265,10 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, text: str = "text")
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
                     size += len(texts[hi])
                     hi += 1
-                rows = align(texts[lo:hi], a, b)
+                kept = _SEGMENTS.get((path_a, path_b))
+                if kept is None or len(kept.names) > KEPT or kept.size > KEPT_CHARS:
+                    kept = _SEGMENTS[path_a, path_b] = Segments()
+                rows = align(texts[lo:hi], a, b, kept)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.sha256(t.encode()).digest() for t in texts[lo:hi]], pa.binary()), pa.array(many[lo:hi], pa.int64()),
                      *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.string()),

@@ -203,3 +203,14 @@ def test_one_of_each_group_with_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _again_ string, _Again boolean")
     got = jaccard.keep_one(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_a_segment_is_encoded_once_and_adds_up(monkeypatch):
+    a, b = (alignment.coder(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    texts = ["The cat, the dog and the cat", "the dog  and", "café don't 12 3", " lead", "trail ", "a\nb c", "x▁y z", "é é ́ x", "the cat"]
+    kept = alignment.Segments()
+    got, want = alignment.align(texts, a, b, kept), alignment.align_whole(texts, a, b)
+    for x, y in zip(got, want):
+        assert x[:5] == y[:5] and np.array_equal(x[5], y[5]) and np.array_equal(x[6], y[6])
+    monkeypatch.setattr(alignment.Coder, "encode", lambda *_: pytest.fail("a known segment is encoded again"))
+    assert alignment.align(["the cat and the dog"], a, b, kept)[0][0] >= 5
