@@ -41,3 +41,21 @@ def test_aligned_rows_are_computed_once(spark):
     assert {r.sample_id for r in aligned.select("sample_id").distinct().collect()} == set(range(12)) - {3}
     with pytest.raises(ValueError, match="only 11 samples"):
         survival.align_clinical(cells(spark), clinical, 12)
+
+
+def people(spark, n=80):
+    return spark.range(n * 3).selectExpr("concat('g', id % 3) AS gene_id", "CAST(id DIV 3 AS INT) AS sample_id", "CAST((id DIV 3) * 7 % 11 + 1 AS DOUBLE) AS time",
+                                         "CAST((id DIV 3) % 3 > 0 AS INT) AS event", "CAST((id * id + id DIV 3) % 13 AS DOUBLE) AS value")
+
+
+def test_tied_deaths_are_summed_in_parts(spark, monkeypatch):
+    cells = people(spark)
+    plain = {r.gene_id: r for r in survival.cox_univariate(cells).collect()}
+    coefs, _ = survival.cox_lasso(cells, 0.01)
+    weights = {r.gene_id: r.coef for r in coefs.collect()}
+    monkeypatch.setattr(survival, "TASK_DEATHS", 10)
+    assert survival._dealt(cells, 53, "time").rdd.getNumPartitions() == 6
+    for r in survival.cox_univariate(cells).collect():
+        assert r.coef == pytest.approx(plain[r.gene_id].coef, abs=1e-9) and r.se == pytest.approx(plain[r.gene_id].se, abs=1e-9)
+    coefs, _ = survival.cox_lasso(cells, 0.01)
+    assert {r.gene_id: r.coef for r in coefs.collect()} == pytest.approx(weights, abs=1e-6)
