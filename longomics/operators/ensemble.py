@@ -236,6 +236,7 @@ RESULT_ORDER = {
 def compare_ensembles(de: DataFrame, significance: float = 0.05, min_methods: int = 2,
                       filters: Mapping[str, float] | None = None) -> DataFrame:
     """Consensus sizes of the five ensemble kinds per contrast."""
+    de = cut(de)
     found = {
         "fisher": pvalue_ensemble(de, "fisher", significance)["consensus"],
         "brown": pvalue_ensemble(de, "brown", significance)["consensus"],

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from longomics import runtime
-from longomics.operators import classify, moments, survival
+from longomics.operators import classify, ensemble, moments, survival
 
 
 def cells(spark, n=60):
@@ -59,3 +60,13 @@ def test_tied_deaths_are_summed_in_parts(spark, monkeypatch):
         assert r.coef == pytest.approx(plain[r.gene_id].coef, abs=1e-9) and r.se == pytest.approx(plain[r.gene_id].se, abs=1e-9)
     coefs, _ = survival.cox_lasso(cells, 0.01)
     assert {r.gene_id: r.coef for r in coefs.collect()} == pytest.approx(weights, abs=1e-6)
+
+
+def test_compared_ensembles_share_one_table(spark, monkeypatch):
+    seen, real = [], ensemble.voting_ensemble
+    monkeypatch.setattr(ensemble, "voting_ensemble", lambda de, *rest: seen.append(de) or real(de, *rest))
+    raw = spark.range(240).selectExpr("'c' AS contrast_id", "concat('m', id % 3) AS method", "concat('g', id DIV 6) AS gene_id",
+                                      "CAST(id % 7 - 3 AS DOUBLE) AS log2fc", "(id % 11 + 1) / 100 AS p_value", "(id % 11 + 1) / 90 AS padj")
+    de = raw.groupBy("contrast_id", "method", "gene_id").agg(*[F.max(c).alias(c) for c in ("log2fc", "p_value", "padj")])
+    assert ensemble.compare_ensembles(de).count() == 5
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
