@@ -57,6 +57,31 @@ def test_modules_equal_linkage_one_pair_at_a_time(spark, height):
     assert grouped(coexpression.average_linkage(overlap, v.select("gene_id"), height)) == plain_linkage(t, height)
 
 
+@pytest.mark.parametrize("height", [0.8, 0.6])
+def test_modules_count_every_pair(spark, height):
+    x = planted(64, seed=4)
+    t = np.round(plain_overlap(x, 6), 12)
+    v = expression(spark, x)
+    assert grouped(coexpression.modules(v, height=height, min_size=1)) == plain_linkage(t, height)
+
+
+def test_overlaps_are_whole_inside_the_groups_of_strong_pairs(spark, monkeypatch):
+    monkeypatch.setattr(coexpression.network, "TILE", 16)
+    x = planted(90, seed=4)
+    x[7, 3] = x[8, 3]
+    t = plain_overlap(x, 6)
+    for limit in (0.0, 0.3, 0.4):
+        near = t >= limit
+        group = np.arange(90)
+        for _ in range(90):
+            group = np.array([min(group[near[g]].min(initial=90), group[g]) for g in range(90)])
+        got = {(r["a"], r["b"]): r["s"] for r in coexpression.topological_overlap(
+            coexpression.adjacency(expression(spark, x), 6, size=20), limit).collect()}
+        want = {(a, b) for a in range(90) for b in range(a + 1, 90) if group[a] == group[b] and t[a, b] > 0}
+        assert set(got) == want and max(abs(s - t[p]) for p, s in got.items()) < 1e-9
+    assert 0 < len(want) < 90 * 89 / 2
+
+
 def test_edges_are_bounded_and_mutual(spark):
     x = planted(40)
     w = np.round(np.clip((1 + np.corrcoef(x)) / 2, 0, 1) ** 6, 12)
