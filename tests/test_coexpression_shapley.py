@@ -133,6 +133,20 @@ def test_hubs_come_from_the_module_of_the_trait(spark):
     assert len(got) == 4 and {r["gene_id"] for r in got} <= set(range(8))
 
 
+def test_hubs_come_from_modules_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    trait = np.arange(30) % 2
+    x = np.vstack([trait * (2.4 if g < 60 else 0) + rng.normal(size=30) for g in range(70)])
+    want = set()
+    for m in plain_linkage(np.round(plain_overlap(x, 6), 12), 0.7):
+        z = (x[list(m)] - x[list(m)].mean(1, keepdims=True)) / x[list(m)].std(1, keepdims=True)
+        e = np.linalg.svd(z, full_matrices=False)[2][0]
+        if len(m) >= 5 and abs(np.corrcoef(e, trait)[0, 1]) > 0.5:
+            want |= {m[i] for i in np.argsort([-abs(np.corrcoef(e, row)[0, 1]) for row in z])[:4]}
+    got = selection.coexpression_hubs(expression(spark, x), min_size=5, hubs=4, height=0.7).where("selected").collect()
+    assert len(want) == 4 and {r["gene_id"] for r in got} == want
+
+
 def expectation(nodes, x, known, at=0):
     """Output of a tree that follows known features and averages over training rows elsewhere."""
     value, left, right, j, threshold, cover = nodes[at]
