@@ -17,6 +17,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, table
 from longomics.llm import decontaminate, jaccard, langid, mixing, neardup, pii, quality, substrings, tokens, urlfilter
+from longomics.llm.base import _BYTE, mix, powers
 from longomics.llm.bwt import Merged, shard_transform
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, node string"
@@ -248,6 +249,40 @@ def test_one_entry_for_each_content():
     assert (200, 1, 5000) in spans and (201, 0, 400) in spans and settled["gram"].null_count == len(runs)
 
 
+def test_a_gram_with_many_contents_goes_to_many_buckets(spark):
+    """Texts that share 32 bytes and little else; some share 100 bytes to the left of them, to the right or around them."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one = lambda s: mix(np.array([(_BYTE[np.frombuffer(s.encode(), np.uint8)] * powers(32)[0]).sum(dtype=np.uint64)]))[0]
+    low = min((word(32) for _ in range(3000)), key=one)  # a small hash, so that most windows pick this gram
+    left, right = word(80), word(80)
+    texts = {k: word(90) + low + word(90) for k in range(1300)}
+    for k in range(1300, 1330):
+        texts[k] = (word(40) + left if k % 3 else word(100)) + low + (right + word(30) if k % 2 else word(100))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen, want = set(), {}
+    for k, t in texts.items():
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for i in range(len(b) - 99):
+            if b[i:i + 100] in seen:
+                gone[i:i + 100] = True
+            seen.add(b[i:i + 100])
+        want[k] = (len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()))
+    assert {r[0]: r[1:4] for r in rows_of(substrings.deduplicate(rows))} == want and sum(w[1] for w in want.values()) > 2000
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(texts, pa.int64()), pa.array(texts.values())], names=["doc", "tag", "t"])
+    sent = [r for out in substrings._entries(1)(iter([batch])) for r in out.to_pylist() if r["bucket"] == 0]
+    settled = substrings._settle(pa.table({"bucket": pa.array([0] * len(sent), pa.int32()), "body": pa.array([r["body"] for r in sent], pa.binary())}))
+    marks = spark.createDataFrame(settled.to_pandas(integer_object_nulls=True).to_dict("records"), substrings._MARKS).where("gram IS NOT NULL")
+    asks = substrings._pieces(marks).groupBy("doc").agg(F.collect_list(F.struct("at", "stop", "gram", "beside", "side")).alias("asks")).toArrow()
+    batch = pa.RecordBatch.from_arrays([asks["doc"].combine_chunks(), pa.array([texts[k] for k in asks["doc"].to_pylist()]), asks["asks"].combine_chunks()],
+                                       names=["doc", "t", "asks"])
+    shards = [r for out in substrings._shards(64)(iter([batch])) for r in out.to_pylist()]
+    held = {b: sum(len(r["docs"]) // 8 for r in shards if r["bucket"] == b) for b in {r["bucket"] for r in shards}}
+    assert len(held) > 32 and max(held.values()) < sum(held.values()) / 8
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(6)
     items = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n)) + ". The answer is " + str(k) * 6 + " of course." for k, n in enumerate([12, 30, 50, 25, 40])]
